@@ -29,7 +29,7 @@ RULES: dict[str, str] = {
     "few_words": "n_words < 10",
     "repeated_windows": "100 * n_repeat_words > 20 * n_words",
     "symbols": "10 * n_symbols > 3 * n_words",
-    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "repeated_lines": "2 * n_dup_lines > n_lines",
     "capitals": "2 * n_capitals > word_chars",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 25 * n_words",
@@ -178,7 +178,7 @@ m AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, la
   coalesce(p.n, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals
   FROM w LEFT JOIN p USING (r)),
 b AS (SELECT *, CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
-  + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
+  + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
   + CASE WHEN 2 * n_capitals > word_chars THEN 16 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END
   + CASE WHEN word_chars > 25 * n_words THEN 64 ELSE 0 END AS bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept,
