@@ -144,7 +144,9 @@ class Page:
                 size[self.parent[i]] += size[i]
                 article[self.parent[i]] = article[self.parent[i]] or article[i]
         for i in range(1, n):
-            if self.named[i] and not article[i] and (self.tag[i] != "header" or not within[i]) and 2 * size[i] <= size[0]:
+            # Where the page marks its article, a suspect outside it goes however large it is.
+            suspect = self.named[i] and not article[i] and (self.tag[i] != "header" or not within[i])
+            if suspect and (article[0] or 2 * size[i] <= size[0]):
                 self.out[i] = True
             self.out[i] = self.out[i] or self.out[self.parent[i]]
 

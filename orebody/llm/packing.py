@@ -33,9 +33,11 @@ from .common import materialize, table
 from .tokens import END_ID, vocabulary, word_encoder
 
 CAPACITY = 4096
-ROUNDS = 40
+CONFIGURATIONS = 1_500  # at most so many are priced
+TILT = 0.25  # prices rise a little faster than sizes, so large pieces go first and small ones are left to fill
 BLOCK = 160  # lengths priced together
 STEP = 0.5  # share of its scarcest length that a configuration takes in a round
+WASTE = 512  # a configuration that leaves more than this part free is not rounded up
 RATE = 1.0  # how fast prices fall with coverage
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
@@ -93,16 +95,16 @@ def best_configuration(lengths: np.ndarray, prices: np.ndarray, most: np.ndarray
     return chosen
 
 
-def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, seed: int = 7):
+def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, seed: int = 7):
     """Multiplicative weights on the configuration LP: {configuration as ((index, times), ...): x}."""
     rng = np.random.default_rng(seed)
     cover, x = np.zeros(len(lengths)), {}
     left = float((lengths * counts).sum())
-    for _ in range(rounds):
+    for _ in range(CONFIGURATIONS // max(1, -(-len(lengths) // BLOCK)) if len(lengths) else 0):
         if left <= 0:
             break
         # Where every sequence is full, a length's optimal price is its size; coverage bends that.
-        prices = lengths * np.exp(-RATE * cover) * (1 + 1e-3 * rng.random(len(lengths)))
+        prices = lengths * (1 + TILT * lengths / capacity) * np.exp(-RATE * cover) * (1 + 1e-3 * rng.random(len(lengths)))
         order = rng.permutation(len(lengths))
         for at in range(0, len(order), BLOCK):
             block = order[at : at + BLOCK]
@@ -137,8 +139,9 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[n
     rest = counts.copy()
     for config, times in sorted(solve_configurations(lengths, counts, capacity).items(), key=lambda kv: (-kv[1], kv[0])):
         n = min(math.ceil(times), *(int(rest[i]) // k for i, k in config))
-        if n < 1:
-            continue
+        offset = sum(int(lengths[i]) * k for i, k in config)
+        if n < 1 or capacity - offset > capacity // WASTE:
+            continue  # best fit does better with these pieces
         offset = 0
         for i, k in config:
             put(int(lengths[i]), n * k, bins, k, offset)
