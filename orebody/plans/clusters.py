@@ -37,7 +37,10 @@ def kmeans_three_rounds(spark, sf_dir):
 
 @query(f"{_LLOYD} SELECT 1 AS iteration, round(sum(d), 6) AS wcss FROM a1 UNION ALL SELECT 2, round(sum(d), 6) FROM a2 UNION ALL SELECT 3, round(sum(d), 6) FROM a3")
 def wcss_trace(spark, sf_dir):
-    _, trace = cluster.kmeans(_suppliers(spark, sf_dir), ["x", "y"], _START, 3)
+    s, centres, trace = _suppliers(spark, sf_dir), _START, []
+    for _ in range(3):
+        centres, wcss, _ = cluster.update(cluster.assign(s, ["x", "y"], centres), ["x", "y"], centres)
+        trace.append(wcss)
     return spark.createDataFrame([(n, round(float(w), 6)) for n, w in enumerate(trace, 1)], "iteration int, wcss double")
 
 
