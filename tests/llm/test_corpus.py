@@ -45,7 +45,14 @@ def docs(sf):
 @pytest.fixture(scope="module")
 def got(spark, sf):
     made = {}
-    return lambda name: made.setdefault(name, QUERIES[name](spark, sf).toPandas().sort_values(list(QUERIES[name](spark, sf).columns[:1])).reset_index(drop=True))
+
+    def rows(name):
+        if name not in made:
+            df = QUERIES[name](spark, sf).toPandas()
+            made[name] = df.sort_values(df.columns[0], kind="stable").reset_index(drop=True)
+        return made[name]
+
+    return rows
 
 
 def library(path, texts):
@@ -135,9 +142,8 @@ def test_shards(got, docs, odd, none, spark):
     assert len(n) == 40 and n["count"].max() - n["count"].min() <= 1 and (n["max"] + 1 == n["count"]).all() and (n["nunique"] == n["count"]).all()
     assert g.text_crc32.tolist() == [zlib.crc32(t.encode()) for t in docs.text] and g["size"].tolist() == [len(t.encode()) + 16 for t in docs.text]
     for size in (1, 2, 3, 7, 100, 997, 5000):
-        p = [r[0] for r in spark.range(size).select(sharding.permute(sharding.F.col("id").alias("number_"), size)).collect()] if False else [
-            r[0] for r in spark.range(size).withColumnRenamed("id", "number_").select(sharding.permute(sharding.F.col("number_"), size)).collect()
-        ]
+        numbers = spark.range(size).withColumnRenamed("id", "number_")
+        p = [r[0] for r in numbers.select(sharding.permute(sharding.F.col("number_"), size)).collect()]
         assert sorted(p) == list(range(size)) and (size < 10 or p != sorted(p))
     s = sharding.shards(odd, 4).toPandas()
     assert len(s) == 15 and s["size"].min() == 16 and s.number_[s.doc_id.isna()].max() == 1 and sharding.shards(none).count() == 0
