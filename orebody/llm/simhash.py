@@ -296,7 +296,9 @@ def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Of each component the document with the smallest id (nulls last; then the smallest text hash), with all its
     columns. Of rows alike in id and text one stays."""
     columns = documents.columns
-    docs = documents.withColumn("text_hash_", F.xxhash64("text"))
+    number = F.col("doc_id").cast("long")
+    keys = {"no_id_": number.isNull(), "id_": F.coalesce(number, F.lit(0)), "text_hash_": F.xxhash64("text")}
+    docs = documents.withColumns(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -309,8 +311,9 @@ def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     nodes = materialize(prints.groupBy("fp").agg(first.alias("least")), "nodes")
     roots = components(fingerprint_links(nodes.select("fp"), radius))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").selectExpr("least", "coalesce(root, fp) as root")
-    chosen = rooted.groupBy("root").agg(F.min("least").alias("k")).selectExpr("k.doc_id as kept_id_", "k.text_hash as kept_hash_")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id_")) & (F.col("text_hash_") == F.col("kept_hash_"))
-    kept = docs.join(chosen, same, "left_semi")
-    once = Window.partitionBy(F.col("doc_id").cast("long"), "text_hash_").orderBy(F.lit(0))
+    chosen = rooted.groupBy("root").agg(F.min("least").alias("k"))
+    chosen = chosen.selectExpr("k.no_id as no_id_", "coalesce(k.doc_id, 0) as id_", "k.text_hash as text_hash_")
+    # The window has the join's keys: the texts are shuffled once.
+    kept = docs.join(chosen, list(keys), "left_semi")
+    once = Window.partitionBy(*keys).orderBy(F.lit(0))
     return kept.withColumn("nth_", F.row_number().over(once)).where("nth_ = 1").select(*columns)

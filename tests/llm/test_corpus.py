@@ -290,6 +290,13 @@ def test_simhash(got, docs, odd, none):
     assert kept.columns == odd.columns and sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect()) == sorted([*set(n.component_id.dropna()), -1])
 
 
+def test_null_ids_are_not_id_zero(spark):
+    text = "the same eight words for each of these"
+    for ids, want in (((None, 0), 0), ((None, 0, 0), 0), ((None, None), None), ((None, 5), 5)):
+        rows = spark.createDataFrame([(i, text, 1) for i in ids], "doc_id long, text string, id_x int")
+        assert [r["doc_id"] for r in simhash.keep_one(rows).collect()] == [want]
+
+
 def test_bit_slices():
     rng = np.random.default_rng(5)
     for size in (2, 3, 65, 700):
