@@ -50,6 +50,13 @@ def running_base(counts: DataFrame, part: str, value: str, base: str) -> DataFra
     return counts.select(part, F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long").alias(base))
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, str, str]:
+    """df with its columns named c0, c1, ..., which clash with no column added on the way, and what doc_id and text
+    are called there ('' where df has none)."""
+    new = {c.lower(): f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), new.get("doc_id", ""), new.get("text", "")
+
+
 def utf8_bytes(text: Column) -> Column:
     return F.octet_length(F.coalesce(text, F.lit("")))
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import plain_names, table
 
 WINDOW = 5
 
@@ -145,11 +145,12 @@ def ablation(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 def keep(documents: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The documents that a policy keeps, with all their columns."""
-    m = measured(documents)
+    plain, _, text = plain_names(documents)
+    m = measured(plain, text)
     failing = F.lit(False)
     for rule in {*BASE, *POLICIES[policy]}:
         failing = failing | _on_struct(RULES[rule])
-    return m.where(~failing).select(*documents.columns)
+    return m.where(~failing).select(*plain.columns).toDF(*documents.columns)
 
 
 def _on_struct(condition: str) -> Column:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table
+from .common import WORD, materialize, plain_names, table
 
 SHINGLE = 4
 RADIUS = 4
@@ -295,17 +295,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Of each component the document with the smallest id (nulls last; then the smallest text hash), with all its
     columns. Of rows alike in id and text one stays."""
-    columns = documents.columns
-    number = F.col("doc_id").cast("long")
-    keys = {"no_id_": number.isNull(), "id_": F.coalesce(number, F.lit(0)), "text_hash_": F.xxhash64("text")}
-    docs = documents.withColumns(keys)
+    plain, key, text = plain_names(documents)
+    number = F.col(key).cast("long")
+    keys = {"no_id_": number.isNull(), "id_": F.coalesce(number, F.lit(0)), "text_hash_": F.xxhash64(text)}
+    docs = plain.withColumns(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t or "") for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "text_hash_")
+    keyed = docs.select(number.alias("doc_id"), F.col(text).cast("string").alias("text"), "text_hash_")
     prints = materialize(keyed.mapInArrow(run, "doc_id long, text_hash long, fp long"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     nodes = materialize(prints.groupBy("fp").agg(first.alias("least")), "nodes")
@@ -316,4 +316,4 @@ def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     # The window has the join's keys: the texts are shuffled once.
     kept = docs.join(chosen, list(keys), "left_semi")
     once = Window.partitionBy(*keys).orderBy(F.lit(0))
-    return kept.withColumn("nth_", F.row_number().over(once)).where("nth_ = 1").select(*columns)
+    return kept.withColumn("nth_", F.row_number().over(once)).where("nth_ = 1").select(*plain.columns).toDF(*documents.columns)

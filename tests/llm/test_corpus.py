@@ -318,6 +318,16 @@ def test_bit_slices():
         assert classes(zip(i.tolist(), j.tolist())) == classes(ok) and len(i) < size
 
 
+def test_clashing_names_pass_through(spark):
+    names = ["id_", "no_id_", "text_hash_", "nth_", "m_", "t_", "words_", "own_", "c0", "fp", "label"]
+    text = "ten words that differ from each other make one fine document"
+    rows = spark.createDataFrame([(1, text, *names), (2, text, *names)], ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    want = [(1, text, *names), (2, text, *names)]
+    model = toxicity.fit_severity(rows, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    for kept, n in ((quality_rules.keep(rows), 2), (simhash.keep_one(rows), 1), (toxicity.drop_toxic(rows, model), 2)):
+        assert kept.columns == rows.columns and sorted(map(tuple, kept.collect())) == want[:n]
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline as cp
