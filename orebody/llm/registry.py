@@ -9,6 +9,7 @@ from .packing import op9_best_fit_packing
 from .quality_model import op6_ftrl_quality
 from .quality_rules import OP7_SQL, op7_rule_ledger
 from .sharding import op5_feistel_shards
+from .sharding import oracle_sql as op5_sql
 from .simhash import op10_simhash
 from .token_orc import op2_token_orc
 from .toxicity import op1_toxicity
@@ -21,4 +22,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op7_rule_ledger": OP7_SQL}
+ORACLES = {"op5_feistel_shards": op5_sql(), "op7_rule_ledger": OP7_SQL}

@@ -112,3 +112,37 @@ def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def crc32_sql(octets: str) -> str:
+    """DuckDB SQL for the CRC-32 of a list of octets. A table entry is the XOR of the entries of its index's bits."""
+    entries = []
+    for k in range(8):
+        v = 1 << k
+        for _ in range(8):
+            v = v >> 1 ^ 0xEDB88320 * (v & 1)
+        entries.append(v)
+    step = "c >> 8"
+    for k, v in enumerate(entries):
+        step = f"xor({step}, ((xor(c, x) >> {k}) & 1) * {v})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, x: {step}), 4294967295)"
+
+
+def oracle_sql(shard_count: int = SHARDS, key: int = KEY) -> str:
+    """The query's rows in DuckDB SQL: numbers by a window, the walk by a recursive query."""
+    walk = "SELECT num, step, p % a AS l, p // a AS r FROM walk, sides WHERE p >= n OR step = 0"
+    for k, (m, c) in enumerate(round_keys(key)):
+        ours, theirs, side = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+        t = f"(({theirs} * {m} + {c}) % {PRIME})"
+        walk = f"SELECT num, step, {theirs}, ({ours} + ({t} * {t} % {PRIME}) % {side}) % {side} AS {ours} FROM ({walk}), sides"
+    return f"""
+WITH RECURSIVE h AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents),
+o AS (SELECT doc_id, (strlen(t) + {OVERHEAD})::BIGINT AS size, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS octets FROM h),
+d AS MATERIALIZED (SELECT doc_id, size, {crc32_sql("octets")} AS text_crc32 FROM o),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS num FROM d),
+sides AS MATERIALIZED (SELECT n, a, greatest(1, (n + a - 1) // a) AS b FROM (SELECT count(*) AS n, greatest(1, ceil(sqrt(count(*)))::BIGINT) AS a FROM documents)),
+walk AS (SELECT num, num AS p, 0 AS step FROM numbered UNION ALL
+  SELECT num, l + r * a, step + 1 FROM ({walk}), sides)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p % {shard_count})::INT AS shard, (p // {shard_count})::BIGINT AS slot, NULL::INT AS grown_shard
+FROM numbered JOIN (SELECT num, p FROM walk, sides WHERE step > 0 AND p < n) USING (num)
+"""

@@ -136,11 +136,16 @@ def test_codecs():
         assert audio.parse_wav(audio.encode_wav(b"x" * 128, codec)) == (codec, 8000, b"x" * 128)
 
 
-def test_shards(got, docs, odd, none, spark):
+def test_shards(got, docs, odd, none, spark, sf):
     g = got("op5_feistel_shards")
     n = g.groupby("shard").slot.agg(["count", "max", "nunique"])
     assert len(n) == 40 and n["count"].max() - n["count"].min() <= 1 and (n["max"] + 1 == n["count"]).all() and (n["nunique"] == n["count"]).all()
     assert g.text_crc32.tolist() == [zlib.crc32(t.encode()) for t in docs.text] and g["size"].tolist() == [len(t.encode()) + 16 for t in docs.text]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    rows = con.sql(ORACLES["op5_feistel_shards"]).fetchall()
+    names = ["doc_id", "size", "text_crc32", "law", "shard", "slot"]
+    assert sorted(r[:6] for r in rows) == sorted(map(tuple, g[names].values.tolist())) and {r[6] for r in rows} == {None}
     for size in (1, 2, 3, 7, 100, 997, 5000):
         numbers = spark.range(size).withColumnRenamed("id", "number_")
         p = [r[0] for r in numbers.select(sharding.permute(sharding.F.col("number_"), size)).collect()]
