@@ -98,24 +98,29 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def load(df: DataFrame, name: str, mode: str = "append", key: str | None = None) -> int:
     """Loads into a catalogue table and returns the rows loaded. append and replace are plain writes. upsert needs a
-    key; it writes the merged rows to a staging table and swaps it in, so the target is never half-written."""
+    key; it writes the merged rows once, to a staging table, and renames that to the target. A load that stopped
+    between the two renames is made good by the next upsert."""
     spark = df.sparkSession
     seen = Observation()
     counted = df.observe(seen, F.count("*").alias("rows"))
+    if mode == "upsert":
+        if key is None or key not in df.columns:
+            raise ValueError("upsert needs a key column")
+        staging, old = f"{name}__staging", f"{name}__old"
+        if not spark.catalog.tableExists(name) and spark.catalog.tableExists(old):
+            spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
     if mode == "append":
         counted.write.mode("append").saveAsTable(name)
     elif mode == "replace" or (mode == "upsert" and not spark.catalog.tableExists(name)):
-        if mode == "upsert" and (key is None or key not in df.columns):
-            raise ValueError("upsert needs a key column")
         counted.write.mode("overwrite").saveAsTable(name)
     elif mode == "upsert":
-        if key is None:
-            raise ValueError("upsert needs a key column")
-        staging = f"{name}__staging"
-        upserted(spark.table(name), counted, key).write.mode("overwrite").saveAsTable(staging)
-        spark.table(staging).write.mode("overwrite").saveAsTable(name)
-        spark.sql(f"DROP TABLE {staging}")
-        return int(df.count())
+        rows = int(df.count())
+        spark.sql(f"DROP TABLE IF EXISTS {old}")
+        upserted(spark.table(name), df, key).write.mode("overwrite").saveAsTable(staging)
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+        spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
+        spark.sql(f"DROP TABLE {old}")
+        return rows
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return int(seen.get["rows"])
@@ -137,11 +142,13 @@ class Pipeline:
             raise ValueError(f"unknown source kind {kind!r}")
         began = time.monotonic()
         raw = self.readers[kind](self.spark, source, query) if kind == "db" else self.readers[kind](self.spark, source)
-        rows = transform(raw, kinds, self.required)
-        counts = {r["is_valid"]: r["count"] for r in rows.groupBy("is_valid").count().collect()}
+        # Counted while the rows are loaded: the source is read once, but for an upsert's own count and join.
+        seen, judged = Observation(), Observation()
+        rows = transform(raw.observe(seen, F.count("*").alias("rows")), kinds, self.required)
+        rows = rows.observe(judged, F.count_if(~F.col("is_valid")).alias("rejected"))
         loaded = load(rows.where("is_valid"), target, mode, key)
         stats = {
-            "rows_extracted": raw.count(), "rows_loaded": loaded, "rows_rejected": counts.get(False, 0),
+            "rows_extracted": seen.get["rows"], "rows_loaded": loaded, "rows_rejected": judged.get["rejected"],
             "duration_sec": round(time.monotonic() - began, 3),
         }
         log.info("%s", stats)

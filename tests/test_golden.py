@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orebody.functions import columns as C
 from orebody.operators import cluster, etl, evaluate, prep, rules, split, stats, trees
 from orebody.sources import readers
+from orebody.streaming.etl import stream_load
 
 TENNIS = [
     "Sunny Hot High Weak No", "Sunny Hot High Strong No", "Overcast Hot High Weak Yes", "Rain Mild High Weak Yes", "Rain Cool Normal Weak Yes",
@@ -146,6 +147,38 @@ def test_etl(spark, tmp_path):
             etl.load(df, "loaded_rows", **bad)
 
 
+def test_pipeline_and_stream(spark, tmp_path):
+    head = "id,email,signup_date,amount\n"
+    lines = ["1,a@x,2024-01-01,150.5", "1,a@x,2024-01-01,150.5", "2,b@x,bad,100", "3,nobody,2024-01-02,5", "4,d@x,,-3", "5,e@x,2024-03-01,2000"]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text(head + "\n".join(lines) + "\n")
+    kinds = {"id": "int", "signup_date": "datetime", "amount": "float"}
+    for name in ("piped", "piped__staging", "piped__old", "streamed"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    flow = etl.Pipeline(spark, {"csv": readers.read_csv})
+    want = {"rows_extracted": 6, "rows_loaded": 3, "rows_rejected": 2}
+    for mode in ("append", "replace", "upsert", "upsert"):
+        stats = flow.run("csv", str(folder), "piped", kinds, mode, "id")
+        assert {k: stats[k] for k in want} == want and spark.table("piped").count() == 3
+    with pytest.raises(ValueError):
+        flow.run("xml", str(folder), "piped", kinds)
+    spark.sql("ALTER TABLE piped RENAME TO piped__old")  # as if stopped between the renames
+    row = etl.transform(spark.createDataFrame([("7", "g@x", None, "1")], "id string, email string, signup_date string, amount string"), kinds, ["id"])
+    assert etl.load(row, "piped", "upsert", "id") == 1
+    assert {r["id"] for r in spark.table("piped").collect()} == {1, 2, 5, 7} and not spark.catalog.tableExists("piped__old")
+
+    def stream():
+        raw = spark.readStream.schema("id string, email string, signup_date string, amount string").option("header", True).csv(str(folder))
+        stream_load(raw, "streamed", kinds, ["id", "email"], str(tmp_path / "marks"), "upsert", "id").awaitTermination(60)
+        spark.catalog.refreshTable("streamed")
+        return sorted((r["id"], r["amount_bucket"]) for r in spark.table("streamed").collect())
+
+    assert stream() == [(1, "medium"), (2, "low"), (5, "premium")] == stream()
+    (folder / "b.csv").write_text(head + "2,b@y,2024-05-01,700\n8,nobody,2024-05-01,1\n")
+    assert stream() == [(1, "medium"), (2, "high"), (5, "premium")]
+
+
 def test_sources(spark, tmp_path):
     path = str(tmp_path / "x.db")
     with sqlite3.connect(path) as db:
