@@ -345,3 +345,54 @@ def test_pipeline(spark, sf, docs):
     ids = [r[0] for r in kept.select("doc_id").collect()]
     assert len(ids) == len(set(ids)) and len(set(slow_components([slow_fingerprint(t) for t in docs.set_index("doc_id").text[ids]]))) == len(ids)
     check_packing(cp.run(spark, sf).toPandas(), docs.set_index("doc_id").text[ids])
+
+
+def test_near_copies_by_jaccard(spark, odd):
+    from orebody.llm import near_copies
+
+    rng = np.random.default_rng(5)
+    texts = []
+    for n in rng.integers(4, 120, 60):
+        words = [f"w{k}" for k in rng.integers(0, 400, n)]
+        texts.append(words)
+        for _ in range(3):  # one to three words of it changed: similarities on both sides of 0.8
+            other = list(texts[-1])
+            for at in rng.integers(0, n, rng.integers(1, 4)):
+                other[at] = f"v{rng.integers(0, 400)}"
+            texts.append(other)
+    texts = [" ".join(t) for t in texts] + ["", " ", None]
+    rows = [(i, t) for i, t in enumerate(texts)]
+
+    def grams(t):
+        w = (t or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    far = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                far += bin(simhash.fingerprint(texts[i] or "") ^ simhash.fingerprint(texts[j] or "")).count("1") > 4
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert far > 5 and sorted(r[0] for r in kept.select("doc_id").collect()) == [i for i in range(len(texts)) if root[i] == i]
+    kept = near_copies.keep_one(odd)
+    assert kept.columns == odd.columns and 0 < kept.count() < odd.count()
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
+def test_stage_drops_what_simhash_misses(spark):
+    import corpus_pipeline as cp
+
+    words = [f"w{i}" for i in range(200)]
+    other = [*words[:60], "x", *words[61:130], "y", *words[131:]]
+    one, two = " ".join(words), " ".join(other)
+    assert bin(simhash.fingerprint(one) ^ simhash.fingerprint(two)).count("1") > 4
+    assert [r[0] for r in cp.near_copies(spark, spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string"), "").collect()] == [1]
