@@ -6,7 +6,8 @@
    configuration linear program (a variable for each multiset of lengths that fits a sequence; each length covered
    as often as it occurs) by multiplicative weights: a length's dual price falls exponentially with its coverage,
    and the pricing problem, the multiset of largest price, is a bounded knapsack solved by dynamic programming.
-   Each round prices a random partition of the lengths, block by block, so that one round raises many variables.
+   Each round prices a random partition of the lengths not yet covered, block by block, so that one round raises
+   many variables; a step covers a configuration's scarcest length. Rounds go on until every length is covered.
 3. Rounding: configurations are used ceil(x) times as long as pieces last; what is left goes in decreasing length
    into the fullest sequence that has room. The plan is a table of runs: pieces number a to b of a length go to
    consecutive sequences. It grows with the number of lengths, not of documents.
@@ -33,10 +34,8 @@ from .common import materialize, table
 from .tokens import END_ID, vocabulary, word_encoder
 
 CAPACITY = 4096
-CONFIGURATIONS = 1_500  # at most so many are priced
 TILT = 0.25  # prices rise a little faster than sizes, so large pieces go first and small ones are left to fill
 BLOCK = 160  # lengths priced together
-STEP = 0.5  # share of its scarcest length that a configuration takes in a round
 WASTE = 512  # a configuration that leaves more than this part free is not rounded up
 RATE = 1.0  # how fast prices fall with coverage
 
@@ -96,28 +95,24 @@ def best_configuration(lengths: np.ndarray, prices: np.ndarray, most: np.ndarray
 
 
 def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, seed: int = 7):
-    """Multiplicative weights on the configuration LP: {configuration as ((index, times), ...): x}."""
+    """Multiplicative weights on the configuration LP: {configuration as ((index, times), ...): x}. It ends when each
+    length is covered. Each configuration covers one length wholly, so there are no more of them than lengths."""
     rng = np.random.default_rng(seed)
-    cover, x = np.zeros(len(lengths)), {}
-    left = float((lengths * counts).sum())
-    for _ in range(CONFIGURATIONS // max(1, -(-len(lengths) // BLOCK)) if len(lengths) else 0):
-        if left <= 0:
-            break
+    rest, x = counts.astype(float), {}
+    while len(live := np.flatnonzero(rest > 0)):
         # Where every sequence is full, a length's optimal price is its size; coverage bends that.
-        prices = lengths * (1 + TILT * lengths / capacity) * np.exp(-RATE * cover) * (1 + 1e-3 * rng.random(len(lengths)))
-        order = rng.permutation(len(lengths))
+        prices = lengths * (1 + TILT * lengths / capacity) * np.exp(-RATE * (1 - rest / counts)) * (1 + 1e-3 * rng.random(len(lengths)))
+        order = rng.permutation(live)
         for at in range(0, len(order), BLOCK):
             block = order[at : at + BLOCK]
-            chosen = best_configuration(lengths[block], prices[block], counts[block], capacity)
-            if not chosen:
-                continue
+            chosen = best_configuration(lengths[block], prices[block], np.ceil(rest[block]).astype(np.int64), capacity)
             config = tuple(sorted((int(block[i]), k) for i, k in chosen.items()))
             index = np.array([i for i, _ in config])
             times = np.array([k for _, k in config])
-            step = max(STEP * float((counts[index] / times).min()), 1e-9)
+            step = float((rest[index] / times).min())
             x[config] = x.get(config, 0.0) + step
-            cover[index] += step * times / counts[index]
-            left -= step * float((lengths[index] * times).sum())
+            rest[index] -= step * times
+            rest[rest < 1e-9] = 0
     return x
 
 

@@ -396,3 +396,16 @@ def test_stage_drops_what_simhash_misses(spark):
     one, two = " ".join(words), " ".join(other)
     assert bin(simhash.fingerprint(one) ^ simhash.fingerprint(two)).count("1") > 4
     assert [r[0] for r in cp.near_copies(spark, spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string"), "").collect()] == [1]
+
+
+def test_configurations_cover_every_length():
+    drawn = np.random.default_rng(1).lognormal(6.0, 1.2, 200_000).astype(np.int64) + 1
+    lengths, counts = np.unique(drawn[drawn < 4096], return_counts=True)
+    x = packing.solve_configurations(lengths, counts, 4096)
+    cover = np.zeros(len(lengths))
+    for config, times in x.items():
+        assert sum(lengths[i] * k for i, k in config) <= 4096
+        for i, k in config:
+            cover[i] += times * k
+    assert len(lengths) > 3_000 and (cover >= counts * (1 - 1e-6)).all() and len(x) <= len(lengths)
+    assert sum(x.values()) <= 1.01 * (lengths * counts).sum() / 4096  # the volume is a dual bound
