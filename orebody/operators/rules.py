@@ -83,9 +83,11 @@ def fp_growth(baskets: DataFrame, min_count: int) -> DataFrame:
 
 
 def association_rules(itemsets: DataFrame, n: int, min_confidence: float, min_lift: float) -> DataFrame:
-    """Every split of every itemset into antecedent and consequent. Itemsets are few next to baskets."""
+    """Every split of every itemset into antecedent and consequent. Itemsets are few next to baskets. The query fails
+    on an itemset of more than MAX_ITEMSET items."""
     masks = F.expr("explode(sequence(1, shiftleft(1, size(items)) - 2))")
-    split = itemsets.where(f"k between 2 and {MAX_ITEMSET}").select("items", "cnt", F.size("items").alias("k_"), F.col("cnt").alias("c_")).withColumn("m_", masks)
+    held = F.when(F.size("items") > MAX_ITEMSET, F.raise_error(F.lit(f"an itemset has more than {MAX_ITEMSET} items"))).otherwise(F.size("items"))
+    split = itemsets.where(held >= 2).select("items", "cnt", F.size("items").alias("k_"), F.col("cnt").alias("c_")).withColumn("m_", masks)
     pick = lambda want: F.expr(f"filter(items, (x, i) -> (shiftright(m_, i) & 1) = {want})")
     sides = split.select(pick(1).alias("antecedent"), pick(0).alias("consequent"), F.col("c_").alias("cnt"))
     a = itemsets.select(F.col("items").alias("antecedent"), F.col("cnt").alias("ca_"))

@@ -203,3 +203,10 @@ def test_splits_and_scaling(spark):
     assert tuple(r) == (0.0, 1.0, 0.0)
     pc, shares = prep.principal_components(df.select("id", "x", (F.col("x") * 2).alias("w")), ["x", "w"])
     assert abs(shares[0] - 1) < 1e-9 and pc.columns == ["id", "pc1", "pc2"]
+
+
+def test_rules_refuse_what_they_cannot_split(spark):
+    items = [f"i{k:02}" for k in range(rules.MAX_ITEMSET + 1)]
+    sets = spark.createDataFrame([(items, len(items), 5)], "items array<string>, k int, cnt long")
+    with pytest.raises(Exception, match="more than 16 items"):
+        rules.association_rules(sets, 10, 0.0, 0.0).count()
