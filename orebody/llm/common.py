@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where none is set (tests), one of our own is set."""
+    """The folder in spark.checkpoint.dir. Only where none is set and all runs on this machine (tests), one of our own
+    is set: other machines would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", folder)
     spark.sparkContext.setCheckpointDir(folder)
@@ -34,13 +41,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     """Writes df to the shared folder as Parquet and reads it back. Lineage ends there: what comes
-    after survives a lost executor without computing df again, and sees one version of it."""
+    after survives a lost executor without computing df again, and sees one version of it. options: of the writer."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_ = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what materialize wrote, once nothing reads it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def running_base(counts: DataFrame, part: str, value: str, base: str) -> DataFrame:
@@ -50,6 +65,18 @@ def running_base(counts: DataFrame, part: str, value: str, base: str) -> DataFra
     return counts.select(part, F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long").alias(base))
 
 
+HOT_SHARE = 1_000
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """left join right on a key that right has once, with right's column `weight`, the rows of left that have the key.
+    Keys with over one HOT_SHARE-th of left's `total` rows, so at most HOT_SHARE of them, are joined by broadcast: none
+    of them fills a task. All others are shuffled. left and right should be cheap to read twice."""
+    hot = right.where(F.col(weight) * HOT_SHARE > total)
+    cold = right.where(F.col(weight) * HOT_SHARE <= total)
+    return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def plain_names(df: DataFrame) -> tuple[DataFrame, str, str]:
     """df with its columns named c0, c1, ..., which clash with no column added on the way, and what doc_id and text
     are called there ('' where df has none)."""
@@ -64,18 +91,39 @@ def utf8_bytes(text: Column) -> Column:
 def labelled_sample(
     documents: DataFrame, labels: DataFrame, target: str, max_rows: int, only: Column | None = None
 ) -> DataFrame:
-    """At most max_rows labelled documents as (text, label), the ones with the smallest hash of doc_id.
-    Rows without a label, an id or a text are left out. The ids are broadcast: max_rows bounds them."""
+    """At most max_rows labelled texts as (doc_id, text_hash, text, label), in the shared folder: of the max_rows
+    labelled ids with the smallest hash, the texts in the order of (hash of the id, id, hash of the text). Rows alike in
+    id and text are one, so an id of any number of rows stays within the bound. Of several labels of an id the largest
+    counts. Rows without a label, an id or a text are left out. What is broadcast has at most max_rows rows of keys."""
     ids = labels.select(F.col("doc_id").alias("_id"), F.col(target).cast("int").alias("_label")).where(
         "_id is not null and _label is not null"
     )
     if only is not None:
         ids = ids.where(only)
-    ids = ids.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    docs = documents.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).where("_text is not null")
-    return docs.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select(
-        F.col("_doc").alias("doc_id"), F.col("_text").alias("text"), F.col("_label").alias("label")
+    ids = ids.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    docs = documents.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text")).where("text is not null")
+    found = docs.join(F.broadcast(ids), F.col("_doc") == F.col("_id"))
+    found = found.groupBy(F.col("_doc").alias("doc_id"), F.xxhash64("text").alias("text_hash")).agg(
+        F.first("text").alias("text"), F.first("_label").alias("label")
     )
+    found = materialize(found, "labelled")
+    if found.count() <= max_rows:
+        return found
+    keys = found.select("doc_id", "text_hash").orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(max_rows)
+    return materialize(found.join(F.broadcast(keys), ["doc_id", "text_hash"], "left_semi"), "labelled")
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut where a string or binary column holds `most` bytes, but never within a row: what is made of a
+    slice is bounded by that and by the longest row."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield b.slice(at, stop - at)
+            at = stop
 
 
 class Memo(dict):

@@ -4,13 +4,14 @@ P(severity > k) = sigmoid(w.x - b_k) for k = 0 .. GRADES-2, with one weight vect
 b_0 < b_1 < ...; the expected severity is the sum of these. x is sparse: log(1 + count) of marker terms.
 
 Fitting (on at most `max_rows` labelled documents, those with the smallest hash of doc_id; a documented bound):
-1. Terms are lower-case words and word beginnings of 4 to 6 letters. Document counts by label are aggregated in
-   Spark; the `max_terms` terms that speak most for the label become markers.
+1. Terms are lower-case words of any length and word beginnings of 4 to 6 letters. Document counts by label are
+   aggregated in Spark; the `max_terms` terms that speak most for the label become markers (ties: the smaller term).
 2. The label is binary. Grade 0 is label 0; a toxic document's grade 1 .. GRADES-1 is the tercile of its number of
    marker words among the toxic ones.
 3. w and b are fitted by gradient steps on the sample's sparse counts, w held at 0 or above.
 
-Scoring is one pass over the whole text of every document. A document is toxic if P(severity > 0) >= 0.5.
+Scoring is one pass over the whole text of every document, however long: a text's memory is that of its words, its
+sparse vector has at most `max_terms` entries. A document is toxic if P(severity > 0) >= 0.5.
 Null and empty texts have no words and get the model's floor. With no labelled toxic document the model has no
 markers and finds nothing toxic. Rows with null or repeated ids are scored each for itself. Further columns are
 not read.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, materialize, table
+from .common import labelled_sample, table
 
 GRADES = 4
 MAX_ROWS = 8_000
@@ -46,6 +47,10 @@ class SeverityModel:
     weights: np.ndarray
     bounds: np.ndarray
 
+    def starts(self) -> frozenset[str]:
+        """The first SHORTEST letters of the terms: a word that begins otherwise has none of them."""
+        return frozenset(t[:SHORTEST].removesuffix("$") for t in self.terms)
+
     def counts(self, text: str, starts: frozenset[str]) -> dict[int, int]:
         found: dict[int, int] = {}
         for word in [w for w in _WORDS.findall(text.lower()) if w[:SHORTEST] in starts]:
@@ -56,7 +61,7 @@ class SeverityModel:
 
     def score(self, texts: list[str]) -> np.ndarray:
         """(texts, GRADES - 1): P(severity > k)."""
-        starts = frozenset(t[:SHORTEST] for t in self.terms)
+        starts = self.starts()
         eta = np.zeros(len(texts))
         for n, text in enumerate(texts):
             if found := self.counts(text, starts):
@@ -65,8 +70,8 @@ class SeverityModel:
 
 
 def terms_of(word: str) -> set[str]:
-    """The word, marked as whole, and its beginnings. Words of under SHORTEST letters have none."""
-    return {f"{word}$", *(word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1))} if len(word) >= SHORTEST else set()
+    """The word, marked as whole, and its beginnings of SHORTEST to LONGEST letters (shorter words have none)."""
+    return {f"{word}$", *(word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1))}
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,13 +122,13 @@ def fit_bounds_and_weights(rows: list[dict[int, int]], grades: np.ndarray, n_ter
 
 
 def fit_severity(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> SeverityModel:
-    sample = materialize(labelled_sample(documents, labels, "toxic", max_rows).select("text", "label"), "toxicity-sample")
+    sample = labelled_sample(documents, labels, "toxic", max_rows).select("doc_id", "text_hash", "text", "label")
     toxic, rows = sample.agg(F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0)), F.count("*")).first()
     none = SeverityModel({}, np.zeros(0), np.arange(GRADES - 1) + 6.0)
     if not toxic:
         return none
     clean = rows - toxic
-    counts = sample.mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(
+    counts = sample.select("text", "label").mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
     )
     lift = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
@@ -140,12 +145,13 @@ def fit_severity(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_RO
     draft = SeverityModel(terms, np.zeros(len(terms)), none.bounds)
 
     def count(texts: pd.Series) -> pd.Series:
-        starts = frozenset(t[:SHORTEST] for t in terms)
+        starts = draft.starts()
         return texts.map(lambda t: [x for kv in draft.counts(t, starts).items() for x in kv])
 
     counted = F.pandas_udf(count, "array<int>")
-    # At most max_rows rows of marker counts reach the driver.
-    got = sample.select(counted("text").alias("c"), "label").collect()
+    # At most max_rows rows of marker counts reach the driver; their order is fixed, so the sums are.
+    got = sample.select("doc_id", "text_hash", counted("text").alias("c"), "label").collect()
+    got.sort(key=lambda r: (r["doc_id"], r["text_hash"]))
     x = [dict(zip(r["c"][::2], r["c"][1::2])) for r in got]
     label = np.array([r["label"] > 0 for r in got])
     mass = np.array([sum(r.values()) for r in x])
