@@ -1,9 +1,11 @@
 """Quality rules as a bitmask ledger (operator 7). DataFrame operations only.
 
 `ledger` reads each text once: it measures, evaluates every rule once and stores one failure bit per rule next to
-the measurements. What a policy keeps, and what each rule costs, are then questions to the stored bits: a policy is
-a version and a mask, a document is kept if it fails none of the mask's rules, and `ablation` counts, for every rule
-of a policy, the documents that it alone removes, by aggregating over the few distinct bit patterns.
+the measurements, as a table in the shared folder. What a policy keeps, and what each rule costs, are then questions to
+the stored bits: a policy is a version and a mask, a document is kept if it fails none of the mask's rules, and
+`ablation` counts, for every rule of a policy, the documents that it alone removes, by bitwise aggregation over the few
+distinct bit patterns. `keep`, for tables whose rows go on to another step, forms the same bits once in the pass that
+filters by a policy's mask; they need no table of their own then.
 
 Repeated windows: the words' XXH64 hashes are combined into one per 5-word window, inside the row. Only texts with a
 window hash that occurs twice sort them; nothing is exploded or shuffled, so neither a long text nor a frequent
@@ -12,7 +14,8 @@ window can gather rows. A text of n words would have to be of some 10^9 words fo
 
 Null and empty texts have no words and fail the base rule. Lines and words are those of the whole text. Rows with
 null or repeated ids get a row each. An empty table gives none. Further columns are not read by `ledger`;
-`keep` passes them on.
+`keep` passes them on, whatever their names. A text's arrays are those of its own words: one row's memory grows with its
+longest text, not with the table.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain_names, table
+from .common import materialize, plain_names, table
 
 WINDOW = 5
 
@@ -38,6 +41,7 @@ BASE = ("few_words", "repeated_windows")
 #: version -> rules in force.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": BASE,
+    "repetition": (*BASE, "repeated_lines"),
     "v1": tuple(RULES),
 }
 CURRENT = "v1"
@@ -104,31 +108,41 @@ def measured(documents: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*own, F.explode(F.array(m)).alias("m_"))
 
 
-def fail_bits() -> Column:
-    """The failure bits of all rules, from columns of the measurements' names."""
-    return sum((F.when(F.expr(c), F.lit(bit(r))).otherwise(F.lit(0)) for r, c in RULES.items()), F.lit(0)).cast("long")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
+
+
+def fail_bits(struct: str) -> Column:
+    """The failure bits of all rules, from a struct column of the measurements."""
+
+    def of(condition: str) -> Column:
+        for name in MEASURES:
+            condition = condition.replace(name, f"{struct}.{name}")
+        return F.expr(condition)
+
+    return sum((F.when(of(c), F.lit(bit(r))).otherwise(F.lit(0)) for r, c in RULES.items()), F.lit(0)).cast("long")
 
 
 def ledger(documents: DataFrame) -> DataFrame:
-    """(doc_id, measurements ..., fail_bits)"""
+    """(doc_id, measurements ..., fail_bits), written and read back."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return measured(docs).select("doc_id", "m_.*").withColumn("fail_bits", fail_bits())
+    return materialize(measured(docs).select("doc_id", "m_.*", fail_bits("m_").alias("fail_bits")), "ledger")
 
 
 def fails(bits: Column, rules: tuple[str, ...]) -> Column:
-    return bits.bitwiseAND(F.lit(sum(bit(r) for r in rules))) != 0
+    return bits.bitwiseAND(F.lit(sum(bit(r) for r in {*rules}))) != 0
 
 
 def apply_policy(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """base_failed, kept and the policy's version, from a ledger."""
+    """base_failed, kept and the policy's version, from the bits of a ledger."""
     base = fails(F.col("fail_bits"), BASE)
-    kept = ~base & ~fails(F.col("fail_bits"), POLICIES[policy])
+    kept = ~fails(F.col("fail_bits"), (*BASE, *POLICIES[policy]))
     return entries.withColumns({"base_failed": base, "kept": kept, "policy": F.lit(policy)})
 
 
 def ablation(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
     """(policy, rule, failed, only, kept, kept_without): documents failing the rule, failing it alone among the
-    policy's, kept by the policy, and kept if the rule is left out. One aggregate over at most 2^rules patterns."""
+    policy's, kept by the policy, and kept if the rule is left out. One aggregate over at most 2^rules patterns;
+    no rows from an empty ledger."""
     patterns = entries.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask(policy))).alias("bits")).agg(F.count("*").alias("n"))
     rules = ", ".join(f"struct('{r}' as rule, {bit(r)}L as bit)" for r in POLICIES[policy])
     each = patterns.select("bits", "n", F.expr(f"inline(array({rules}))"))
@@ -144,19 +158,10 @@ def ablation(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def keep(documents: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The documents that a policy keeps, with all their columns."""
+    """The documents that a policy keeps by their failure bits, with all their columns."""
     plain, _, text = plain_names(documents)
-    m = measured(plain, text)
-    failing = F.lit(False)
-    for rule in {*BASE, *POLICIES[policy]}:
-        failing = failing | _on_struct(RULES[rule])
-    return m.where(~failing).select(*plain.columns).toDF(*documents.columns)
-
-
-def _on_struct(condition: str) -> Column:
-    for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"):
-        condition = condition.replace(name, f"m_.{name}")
-    return F.expr(condition)
+    booked = measured(plain, text).select(*plain.columns, fail_bits("m_").alias("bits_"))
+    return booked.where(~fails(F.col("bits_"), (*BASE, *POLICIES[policy]))).select(*plain.columns).toDF(*documents.columns)
 
 
 def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +172,17 @@ def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP7_SQL = """
+def ledger_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs, from one stored ledger."""
+    entries = ledger(table(spark, sf_dir, "documents"))
+    out = None
+    for policy in POLICIES:
+        found = ablation(entries, policy)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+_BITS = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
@@ -181,7 +196,18 @@ m AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, la
 b AS (SELECT *, CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
   + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
   + CASE WHEN 2 * n_capitals > word_chars THEN 16 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END
-  + CASE WHEN word_chars > 25 * n_words THEN 64 ELSE 0 END AS bits FROM m)
+  + CASE WHEN word_chars > 25 * n_words THEN 64 ELSE 0 END AS bits FROM m)"""
+
+OP7_SQL = f"""{_BITS}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept,
   n_lines, n_capitals, bits::BIGINT AS fail_bits FROM b
 """
+
+ABLATION_SQL = " UNION ALL ".join(
+    f"""SELECT '{policy}' AS policy, '{rule}' AS rule, count_if(bits & {bit(rule)} <> 0)::BIGINT AS failed,
+  count_if(bits & {mask(policy)} = {bit(rule)})::BIGINT AS only, count_if(bits & {mask(policy)} = 0)::BIGINT AS kept,
+  count_if(bits & {mask(policy) & ~bit(rule)} = 0)::BIGINT AS kept_without FROM b"""
+    for policy in POLICIES
+    for rule in POLICIES[policy]
+)
+ABLATION_SQL = f"{_BITS} {ABLATION_SQL}"

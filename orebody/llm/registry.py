@@ -7,7 +7,7 @@ from .byte_bpe import op3_trie_bpe
 from .html_text import op8_text_density
 from .packing import op9_best_fit_packing
 from .quality_model import op6_ftrl_quality
-from .quality_rules import OP7_SQL, op7_rule_ledger
+from .quality_rules import ABLATION_SQL, OP7_SQL, ledger_ablation, op7_rule_ledger
 from .sharding import op5_feistel_shards
 from .sharding import oracle_sql as op5_sql
 from .simhash import op10_simhash
@@ -18,8 +18,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_token_orc, op3_trie_bpe, op4_telephony, op5_feistel_shards,
-        op6_ftrl_quality, op7_rule_ledger, op8_text_density, op9_best_fit_packing, op10_simhash,
+        op6_ftrl_quality, op7_rule_ledger, op8_text_density, op9_best_fit_packing, op10_simhash, ledger_ablation,
     )
 }
 
-ORACLES = {"op5_feistel_shards": op5_sql(), "op7_rule_ledger": OP7_SQL}
+ORACLES = {"op5_feistel_shards": op5_sql(), "op7_rule_ledger": OP7_SQL, "ledger_ablation": ABLATION_SQL}
