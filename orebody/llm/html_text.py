@@ -1,18 +1,22 @@
 """Main text of web pages by composite text density (operator 8).
 
-A page becomes a tree of elements. Elements that never hold an article's text go first: by their kind (nav, footer,
-aside, form, script, style and the like), by role, or by a class or id that names a menu, notice, advert, sidebar,
-comments and so on, unless most of the page's text or an article is inside.
+A page becomes a tree of elements. Elements that never hold an article's text go first, by their kind (nav, footer,
+aside, script, style and the like). Suspects are forms, and elements whose role, class or id names a menu, notice,
+advert, sidebar, comments and so on: they go, unless an article or half of the text of the article around them (of the
+page, where it marks none) is inside. Of a form that stays only the controls go. Readers' comments go however large,
+as long as other text is left.
 
 For every node, C is its characters, T its tags, LC and LT those of links. Its composite density is
     C / T * log_b(C / LC * T / LT),  b = ln(C / (C - LC) * LC + LCbody / Cbody * C + e)
 with zero denominators taken as 1: characters per tag, lowered by the links' share. A node's density sum adds its
 children's densities, a run of text directly in it counting as a child. The threshold is the least density on the
-path from the body to the densest node; among nodes that reach it the one with the largest sum is taken, and its
-parent instead while it holds under SHARE of the remaining text. All text below is returned.
+path from the body to the densest node; among nodes that reach it the one with the largest sum is taken (of equal
+ones the first in the page), and its parent instead while it holds under SHARE of the remaining text. All text below is
+returned.
 
-A page is one row and one task's work; nothing is shared between rows. Null and empty html give an empty text.
-Rows with null or repeated ids get a row each; an empty table none. Further columns are not read.
+A page is one row and one task's work, however long: its tree takes some hundred bytes a tag. Nothing is shared between
+rows, and batches are cut by bytes. Null and empty html give an empty text. Rows with null or repeated ids get a row
+each; an empty table none. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import byte_slices, table
 
 SHARE = 0.6
 
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-z][a-z0-9:-]*)(?P<more2>[^>]*)>",
     re.IGNORECASE | re.DOTALL,
@@ -48,7 +52,10 @@ BLOCK = frozenset(
 ENDS_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption".split())
 #: Elements that end an open one of the same kind, up to the given container.
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-NEVER = frozenset("nav footer aside form menu dialog button label fieldset head audio video canvas".split())
+NEVER = frozenset("nav footer aside menu dialog button label head audio video canvas svg math object select datalist".split())
+#: Elements of another language in a page: a slash at the end of their tag closes them.
+FOREIGN = frozenset(("svg", "math"))
+SUSPECT = frozenset("header form fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies "
@@ -56,6 +63,8 @@ NAMES = frozenset(
     "comment comments disqus reply replies respond share sharing social newsletter subscribe subscription related popup "
     "modal widget toolbar pagination pager login signup form".split()
 )
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEEP = frozenset("html body article main".split())
 
 
@@ -63,7 +72,7 @@ class Page:
     """The tree of a page: parallel lists over its nodes in page order, and the runs of text with their node."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.out, self.named = ["#page"], [-1], [False], [False]
+        self.tag, self.parent, self.out, self.named = ["#page"], [-1], [False], [""]
         self.runs: list[tuple[int, int, str]] = []  # node, block number, text
         stack, block, at = [0], 0, 0
 
@@ -91,13 +100,16 @@ class Page:
                 continue
             if name in VOID:
                 continue
+            more = m["more"] or m["more2"] or ""
+            if name in FOREIGN and more.endswith("/"):
+                continue
             if name in ENDS_P:
                 self._end(stack, "p", {"article", "section", "div", "td", "th", "li", "button"})
             if name in SIBLINGS:
                 self._end(stack, name, SIBLINGS[name])
             self.tag.append(name)
             self.parent.append(stack[-1])
-            out, named = self._verdict(name, m["more"] or m["more2"] or "")
+            out, named = self._verdict(name, more)
             self.out.append(out)
             self.named.append(named)
             stack.append(len(self.tag) - 1)
@@ -113,42 +125,54 @@ class Page:
                 return
 
     @staticmethod
-    def _verdict(name: str, attributes: str) -> tuple[bool, bool]:
-        """Out by its kind; suspect by its names."""
+    def _verdict(name: str, attributes: str) -> tuple[bool, str]:
+        """Out by its kind; what it is suspected of: nothing (""), "comments" or "other"."""
         if name in KEEP:
-            return False, False
-        named = name == "header"
+            return False, ""
+        named = "other" if name in SUSPECT else ""
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if key in ("class", "id"):
-                named = named or not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value))
+                parts = re.split(r"[^a-z0-9]+", value)
+                if not COMMENTS.isdisjoint(parts):
+                    named = "comments"
+                elif not NAMES.isdisjoint(parts):
+                    named = named or "other"
             elif key == "role":
-                named = named or value in ROLES
+                named = named or ("other" if value in ROLES else "")
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-                return True, False
+                return True, ""
         return name in NEVER, named
 
     def prune(self) -> None:
         """Settles which nodes are out, with all below them."""
         n, size = len(self.tag), [0] * len(self.tag)
         for node, _, text in self.runs:
-            size[node] += len(text)
-        article = [t in ("article", "main") for t in self.tag]
-        within = [False] * n
+            size[node] += len(" ".join(text.split()))
+        holds = [t in ("article", "main") for t in self.tag]
+        around = [0] * n  # the nearest article or main that a node is in; 0, the page, if none
         for i in range(1, n):
             up = self.parent[i]
-            within[i] = within[up] or article[up]
+            around[i] = up if self.tag[up] in ("article", "main") else around[up]
             self.out[i] = self.out[i] or self.out[up]
         for i in range(n - 1, 0, -1):
             if not self.out[i]:
                 size[self.parent[i]] += size[i]
-                article[self.parent[i]] = article[self.parent[i]] or article[i]
+                holds[self.parent[i]] = holds[self.parent[i]] or holds[i]
         for i in range(1, n):
-            # Where the page marks its article, a suspect outside it goes however large it is.
-            suspect = self.named[i] and not article[i] and (self.tag[i] != "header" or not within[i])
-            if suspect and (article[0] or 2 * size[i] <= size[0]):
-                self.out[i] = True
             self.out[i] = self.out[i] or self.out[self.parent[i]]
+            if self.out[i] or not self.named[i] or holds[i]:
+                continue
+            # An article has headings and a header of its own.
+            if around[i] and (self.tag[i] in HEADINGS or self.tag[i] == "header"):
+                continue
+            whole = size[around[i]]
+            if not around[i] and holds[0]:
+                self.out[i] = True  # the page marks its article, and this is outside
+            elif self.named[i] == "comments":
+                self.out[i] = size[i] < whole
+            else:
+                self.out[i] = 2 * size[i] < whole
 
     def main_node(self) -> int:
         n = len(self.tag)
@@ -234,7 +258,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in byte_slices(batches, 2):
             texts = [main_text(t or "") for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
