@@ -8,9 +8,10 @@
    and the pricing problem, the multiset of largest price, is a bounded knapsack solved by dynamic programming.
    Each round prices a random partition of the lengths not yet covered, block by block, so that one round raises
    many variables; a step covers a configuration's scarcest length. Rounds go on until every length is covered.
-3. Rounding: configurations are used ceil(x) times as long as pieces last; what is left goes in decreasing length
-   into the fullest sequence that has room. The plan is a table of runs: pieces number a to b of a length go to
-   consecutive sequences. It grows with the number of lengths, not of documents.
+3. Rounding: configurations that waste nothing (or little) are used floor(share x) times, and what is left goes in
+   decreasing length into the fullest sequence that has room; of a few shares the one with the fewest sequences is
+   taken. The plan is a table of runs: pieces number a to b of a length go to consecutive sequences. It grows with the
+   number of lengths, not of documents.
 4. A piece finds its number among all pieces of its length (its number within the partition plus a base) and from
    the run its sequence and offset. No group of equal lengths ever meets in one task.
 
@@ -36,7 +37,8 @@ from .tokens import END_ID, vocabulary, word_encoder
 CAPACITY = 4096
 TILT = 0.25  # prices rise a little faster than sizes, so large pieces go first and small ones are left to fill
 BLOCK = 160  # lengths priced together
-WASTE = 512  # a configuration that leaves more than this part free is not rounded up
+#: Roundings tried: (free tokens that a configuration may leave, share of its LP value that is used).
+ROUNDINGS = ((0, 1.0), (0, 0.9), (0, 0.8), (0, 0.5), (1, 0.98), (8, 0.8), (8, 1.0), (-1, 0.0))
 RATE = 1.0  # how fast prices fall with coverage
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
@@ -118,32 +120,49 @@ def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int,
 
 def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
     """Runs (length, first number, pieces, first sequence, pieces per sequence, offset), sorted, and the number of
-    sequences. histogram: length -> how many pieces have it."""
-    runs, used, bins = [], dict.fromkeys(histogram, 0), 0
+    sequences. histogram: length -> how many pieces have it. Of the roundings of the LP's solution the first of those
+    with the fewest sequences is taken. They keep back a share of every length for best fit, which needs small pieces
+    to fill up with. The last one rounds every configuration down to nothing and leaves all to best fit, so the plan
+    never has more sequences than best fit decreasing."""
+    lengths = np.array(sorted(k for k, n in histogram.items() if n and k < capacity), dtype=np.int64)
+    counts = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
+    x = sorted(solve_configurations(lengths, counts, capacity).items(), key=lambda kv: (-kv[1], kv[0]))
+    full, least = histogram.get(capacity, 0), -(-int(lengths @ counts) // capacity)
+    best = None
+    for waste, share in ROUNDINGS:
+        runs, bins = _rounded(lengths, counts, x, capacity, waste, share, full)
+        if best is None or bins < best[1]:
+            best = runs, bins
+        if bins - full <= least:
+            break  # as many as the tokens fill
+    return best
+
+
+def _rounded(lengths: np.ndarray, counts: np.ndarray, x: list, capacity: int, waste: int, share: float, full: int) -> tuple[np.ndarray, int]:
+    """Configurations that leave at most `waste` free, a share of x times rounded down; best fit for the rest."""
+    runs, used, bins = [], dict.fromkeys([*lengths.tolist(), capacity], 0), 0
     rooms: dict[int, list[tuple[int, int]]] = {}  # free tokens -> (first sequence, how many)
 
     def put(length: int, pieces: int, first: int, each: int, offset: int) -> None:
         runs.append((length, used[length], pieces, first, each, offset))
         used[length] += pieces
 
-    if histogram.get(capacity):
-        put(capacity, histogram[capacity], 0, 1, 0)
-        bins = histogram[capacity]
-    lengths = np.array(sorted(k for k, n in histogram.items() if n and k < capacity), dtype=np.int64)
-    counts = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
+    if full:
+        put(capacity, full, 0, 1, 0)
+        bins = full
     rest = counts.copy()
-    for config, times in sorted(solve_configurations(lengths, counts, capacity).items(), key=lambda kv: (-kv[1], kv[0])):
-        n = min(math.ceil(times), *(int(rest[i]) // k for i, k in config))
-        offset = sum(int(lengths[i]) * k for i, k in config)
-        if n < 1 or capacity - offset > capacity // WASTE:
+    for config, times in x:
+        n = min(int(times * share + 1e-9), *(int(rest[i]) // k for i, k in config))
+        free = capacity - sum(int(lengths[i]) * k for i, k in config)
+        if n < 1 or free > waste:
             continue  # best fit does better with these pieces
         offset = 0
         for i, k in config:
             put(int(lengths[i]), n * k, bins, k, offset)
             offset += int(lengths[i]) * k
             rest[i] -= n * k
-        if offset < capacity:
-            rooms.setdefault(capacity - offset, []).append((bins, n))
+        if free:
+            rooms.setdefault(free, []).append((bins, n))
         bins += n
 
     free = sorted(rooms)
