@@ -14,11 +14,14 @@ fours, more) add the planes up, and a block is abandoned once all its distances
 comparison only links that join two parts are passed on: a spanning forest, never all pairs of a group.
 
 Components are found by star contraction: every node is hung on its smallest neighbour, in turn from above and from
-below, until nothing moves. Each round is written to the shared folder; the driver sees a count and a checksum.
+below, until nothing moves. Each round is written to the shared folder; the driver sees a count and a checksum. A
+fingerprint of very many documents, or the root of a giant component, is joined by broadcast (join_split): at most a
+thousand such keys.
 
 Null texts have no words: fingerprint zero, linked like any other. Null doc_ids get a row, but are never a
 component's smallest id; a component of such rows alone has a null id. Repeated rows stay repeated. Empty tables
-give no rows. Further columns of the input are not read.
+give no rows. Further columns of the input are not read; keep_one passes them on. A text of any length is hashed whole,
+in some hundred bytes a word; a bit set in exactly half of the hashes is 0.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, plain_names, table
+from .common import WORD, byte_slices, discard, join_split, materialize, plain_names, table
 
 SHINGLE = 4
 RADIUS = 4
@@ -67,7 +70,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, fp long)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in byte_slices(batches, 1):
             fp = np.array([fingerprint(t or "") for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
@@ -263,28 +266,35 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(edges, "edges")
     now, before = state(edges), None
     while now != before:
+        known = edges
         # From above: each node sends its smallest neighbour (or itself) to its larger neighbours.
-        both = edges.selectExpr("u as x", "v as y").union(edges.selectExpr("v as x", "u as y"))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).selectExpr("x as _x", "least(x, m) as m")
-        large = edges.join(least, F.col("v") == F.col("_x")).selectExpr("u", "m as v").distinct()
+        both = edges.selectExpr("u as x", "v as y", "0 as n").union(edges.selectExpr("v as x", "u as y", "1 as n"))
+        least = both.groupBy("x").agg(F.min("y").alias("m"), F.sum("n").alias("n")).where("n > 0").selectExpr("x as v", "least(x, m) as m", "n")
+        large = join_split(edges, least, "v", "n", now[0]).selectExpr("u", "m as v").distinct()
         # From below: each node and its smaller neighbours hang on the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u as _u", "m")
-        small = large.join(least, F.col("u") == F.col("_u")).selectExpr("explode(array(struct(u as u, m as m), struct(v as u, m as m))) as e")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_split(large, least, "u", "n", now[0]).selectExpr("explode(array(struct(u as u, m as m), struct(v as u, m as m))) as e")
         edges = small.selectExpr("e.u as u", "e.m as v").where("u <> v").distinct()
-        edges = materialize(edges, "edges")
+        edges, old = materialize(edges, "edges"), known
         now, before = state(edges), now
+        discard(old)
     return edges.selectExpr("u as node", "v as root")
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id)"""
     docs = materialize(fingerprints(documents), "fingerprints")
-    nodes = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(fingerprint_links(nodes.select("fp"), radius))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").selectExpr("fp", "least", "coalesce(root, fp) as root")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_root")
-    named = rooted.join(ids, F.col("root") == F.col("_root")).selectExpr("fp as _fp", "component_id")
-    return docs.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    nodes = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    named = materialize(component_of(nodes, fingerprint_links(nodes.select("fp"), radius)), "components")
+    return join_split(docs, named, "fp", "n", docs.count()).select("doc_id", "fp", "component_id")
+
+
+def component_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes (fp, least, n) with component_id: the smallest `least` of their component."""
+    roots = components(links).withColumnRenamed("node", "fp")
+    rooted = materialize(nodes.join(roots, "fp", "left").selectExpr("fp", "least", "n", "coalesce(root, fp) as root"), "rooted")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    return join_split(rooted, ids, "root", "size", rooted.count()).select("fp", "n", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +311,7 @@ def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     docs = plain.withColumns(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in byte_slices(batches, 1):
             fp = np.array([fingerprint(t or "") for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
