@@ -4,6 +4,7 @@ empty tables, further columns."""
 import hashlib
 import html
 import importlib.util
+import math
 import re
 import zlib
 
@@ -102,13 +103,75 @@ def test_trie_bpe(got, docs, odd, none):
     assert sorted(texts.text) == sorted([x or "" for x in ODD] + ["no id"] * 2) and byte_bpe.bpe_digest(none, BYTES).count() == 0
 
 
-def test_media(got, docs, odd, none):
+def slow_samples(payload, codec):
+    if codec != audio.ADPCM:
+        return [int(audio.EXPAND[codec][x]) for x in payload]
+    out = []
+    for at in range(0, len(payload), 64):
+        out += slow_block(payload[at : at + 64])
+    return out
+
+
+def slow_block(b):
+    value, index = int.from_bytes(bytes(b[:2]), "little", signed=True), min(int(b[2]), 88)
+    out = [value]
+    for byte in b[4:]:
+        for code in (int(byte) & 15, int(byte) >> 4):
+            step = int(audio.STEPS[index])
+            change = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+            value = max(-32768, min(32767, value - change if code & 8 else value + change))
+            index = max(0, min(88, index + int(audio.MOVES[code & 7])))
+            out.append(value)
+    return out
+
+
+def slow_wav(payload, codec):
+    def chunk(name, body):
+        return name + len(body).to_bytes(4, "little") + body
+
+    adpcm = codec == audio.ADPCM
+    samples = len(payload) // 64 * 121 if adpcm else len(payload)
+    numbers = [(codec, 2), (1, 2), (8000, 4), (8000 * 64 // 121 if adpcm else 8000, 4), (64 if adpcm else 1, 2), (4 if adpcm else 8, 2)]
+    numbers += [(2, 2), (121, 2)] if adpcm else [(0, 2)]
+    form = b"".join(v.to_bytes(n, "little") for v, n in numbers)
+    return chunk(b"RIFF", b"WAVE" + chunk(b"fmt ", form) + chunk(b"fact", samples.to_bytes(4, "little")) + chunk(b"data", payload))
+
+
+def test_media(got, docs, odd, none, spark):
     payloads = [t.encode() + b"\0" * (-len(t.encode()) % 64 if t else 64) for t in docs.text]
     g = got("op4_telephony")
     assert g.payload_sha256.tolist() == [hashlib.sha256(p).hexdigest() for p in payloads] and g.tail_crc32.tolist() == [zlib.crc32(p[-64:]) for p in payloads]
-    d = audio.media_digest(audio.media_of_texts(odd)).toPandas()
+    codecs = [audio.CODECS[zlib.crc32(p) % 3] for p in payloads]
+    media = [slow_wav(p, c) for p, c in zip(payloads, codecs)]
+    assert g.media_sha256.tolist() == [hashlib.sha256(m).hexdigest() for m in media] and g.media_bytes.tolist() == list(map(len, media))
+    small = [k for k, p in enumerate(payloads) if len(p) < 3_000]
+    for k in small:
+        x = slow_samples(payloads[k], codecs[k])
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        packed = b"".join(v.to_bytes(2, "little", signed=True) for v in x)
+        want = f"{audio.NAMES[codecs[k]]};rate=8000;pcm={len(x)};rms={math.isqrt(sum(v * v for v in x) // len(x))};peak={max(map(abs, x))};crossings={crossings};crc={zlib.crc32(packed):08x}"
+        assert g.feature[k] == want
+    assert len(small) > 100 and {codecs[k] for k in small} == set(audio.CODECS)
+    d = audio.pcm_features(audio.decode_media(audio.media_digest(audio.media_of_texts(odd)))).toPandas()
     assert len(d) == 15 and d.payload_bytes[d.doc_id == 0].tolist() == [64] and d.feature[d.doc_id == 10].tolist() == d.feature[d.doc_id == 11].tolist()
-    assert audio.media_digest(audio.media_of_texts(none)).count() == 0
+    assert audio.pcm_features(audio.decode_media(audio.media_digest(audio.media_of_texts(none)))).count() == 0
+
+
+def test_media_columns(spark):
+    block = bytes(range(64))
+    short = audio.encode_wav(block * 3, audio.ADPCM)
+    trimmed = short.replace(b"data" + (192).to_bytes(4, "little"), b"data" + (150).to_bytes(4, "little"))
+    media = [audio.encode_wav(b"\x80\x00" * 8, audio.MULAW), None, b"", b"RIFFxxxxWAVE", short[:-5], short.replace(b"fmt \x14\0\0\0\x11\0\x01", b"fmt \x14\0\0\0\x11\0\x02"), trimmed]
+    rows = spark.createDataFrame([(k, m, "own", "p") for k, m in enumerate(media)], "id int, sound binary, codec string, part string")
+    out = {r["id"]: r for r in audio.decode_media(rows, "sound", 16_000).collect()}
+    assert out[0].asDict().keys() == {"id", "sound", "part", "pcm", "codec", "media_rate", "media_error"} and out[0]["codec"] == "mulaw"
+    assert np.frombuffer(out[0]["pcm"], "<i2").tolist()[:4] == [32124, 0, -32124, 0] and out[0]["media_rate"] == 8000
+    assert out[1]["pcm"] is None and out[1]["media_error"] is None
+    assert all(out[k]["pcm"] is None and out[k]["media_error"] for k in (2, 3, 5))
+    plain = {r["id"]: r for r in audio.decode_media(rows, "sound", 8_000).collect()}
+    for k, n in ((4, 187), (6, 150)):  # a last block that is cut short
+        data = (block * 3)[:n]
+        assert np.frombuffer(plain[k]["pcm"], "<i2").tolist() == (slow_block(data[:64]) + slow_block(data[64:128]) + slow_block(data[128:]))[:363]
 
 
 def test_codecs():
@@ -117,23 +180,11 @@ def test_codecs():
     rng = np.random.default_rng(1)
     blocks = rng.integers(0, 256, (20, 64), dtype=np.uint8)
 
-    def slow(b):
-        value, index = int.from_bytes(bytes(b[:2]), "little", signed=True), min(int(b[2]), 88)
-        out = [value]
-        for byte in b[4:]:
-            for code in (int(byte) & 15, int(byte) >> 4):
-                step = int(audio.STEPS[index])
-                change = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
-                value = max(-32768, min(32767, value - change if code & 8 else value + change))
-                index = max(0, min(88, index + int(audio.MOVES[code & 7])))
-                out.append(value)
-        return out
-
-    assert audio.decode_adpcm_blocks(blocks).tolist() == [slow(b) for b in blocks]
+    assert audio.decode_adpcm_blocks(blocks).tolist() == [slow_block(b) for b in blocks]
     assert audio.resample(np.array([0, 10, 20, 30], np.int16), 8000, 16000).tolist() == [0, 5, 10, 15, 20, 25, 30, 30]
     assert audio.resample(np.array([0, 10, 20], np.int16), 8000, 4000).tolist() == [5, 20]
     for codec in audio.CODECS:
-        assert audio.parse_wav(audio.encode_wav(b"x" * 128, codec)) == (codec, 8000, b"x" * 128)
+        assert audio.parse_wav(audio.encode_wav(b"x" * 128, codec)) == (codec, 8000, 64 if codec == audio.ADPCM else 1, 242 if codec == audio.ADPCM else 128, b"x" * 128)
 
 
 def test_shards(got, docs, odd, none, spark, sf):
