@@ -50,23 +50,20 @@ def candidates(frequent: DataFrame, k: int) -> DataFrame:
     return found.groupBy("items").agg(F.count("*").alias("k_")).where(F.col("k_") == k).select("items")
 
 
-def apriori(baskets: DataFrame, min_count: int, max_k: int = 8) -> DataFrame:
-    """(items, k, cnt) level by level. A level's itemsets are counted by joining baskets, grown by one item, to the
-    candidates: baskets carry only frequent itemsets of the level before, and those that carry none are gone."""
-    rows = baskets.distinct()
-    frequent = rows.groupBy("item").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= min_count)
-    level = cut(frequent.select(F.array("item").alias("items"), F.lit(1).alias("k"), "cnt"))
-    held = rows.join(frequent.select("item"), "item", "left_semi").select("tid", F.array("item").alias("items"))
-    singles = held.select("tid", F.col("items")[0].alias("item"))
-    out = level
-    for k in range(2, max_k + 1):
+def apriori(baskets: DataFrame, min_count: int) -> DataFrame:
+    """(items, k, cnt), level by level until one is empty. A level's itemsets are counted by joining baskets, grown by
+    one item, to the candidates: baskets carry only frequent itemsets of the level before, and those that carry none are
+    gone. Each level is cut, so none is computed again for the next."""
+    rows = cut(baskets.select("tid", "item").distinct())
+    level = cut(rows.groupBy("item").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= min_count).select(F.array("item").alias("items"), F.lit(1).alias("k"), "cnt"))
+    singles = cut(rows.join(level.select(F.col("items")[0].alias("item")), "item", "left_semi"))
+    held, out, k = singles.select("tid", F.array("item").alias("items")), level, 1
+    while not level.isEmpty():
+        k += 1
         want = candidates(level, k)
         grown = held.join(singles, "tid").where(F.element_at("items", -1) < F.col("item")).select("tid", F.concat("items", F.array("item")).alias("items"))
-        held = grown.join(want, "items", "left_semi")
-        level = held.groupBy("items").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= min_count).select("items", F.lit(k).alias("k"), "cnt")
-        level = cut(level)
-        if level.isEmpty():
-            break
+        held = cut(grown.join(want, "items", "left_semi"))
+        level = cut(held.groupBy("items").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= min_count).select("items", F.lit(k).alias("k"), "cnt"))
         held = held.join(level.select("items"), "items", "left_semi")
         out = out.unionByName(level)
     return out
@@ -83,8 +80,8 @@ def fp_growth(baskets: DataFrame, min_count: int) -> DataFrame:
 
 
 def association_rules(itemsets: DataFrame, n: int, min_confidence: float, min_lift: float) -> DataFrame:
-    """Every split of every itemset into antecedent and consequent. Itemsets are few next to baskets. The query fails
-    on an itemset of more than MAX_ITEMSET items."""
+    """Every split of every itemset into antecedent and consequent (size_left items). Itemsets are few next to baskets.
+    The query fails on an itemset of more than MAX_ITEMSET items."""
     masks = F.expr("explode(sequence(1, shiftleft(1, size(items)) - 2))")
     held = F.when(F.size("items") > MAX_ITEMSET, F.raise_error(F.lit(f"an itemset has more than {MAX_ITEMSET} items"))).otherwise(F.size("items"))
     split = itemsets.where(held >= 2).select("items", "cnt", F.size("items").alias("k_"), F.col("cnt").alias("c_")).withColumn("m_", masks)
@@ -97,7 +94,7 @@ def association_rules(itemsets: DataFrame, n: int, min_confidence: float, min_li
     s, conf, sb = F.col("cnt") / total, F.col("cnt") / F.col("ca_"), F.col("cb_") / total
     lift = conf / sb
     rules = j.select(
-        F.array_join("antecedent", ",").alias("antecedent"), F.array_join("consequent", ",").alias("consequent"),
+        F.array_join("antecedent", ",").alias("antecedent"), F.array_join("consequent", ",").alias("consequent"), F.size("antecedent").alias("size_left"),
         F.round(s, 4).alias("support"), F.round(conf, 4).alias("confidence"), F.round(lift, 4).alias("lift"),
         F.when(F.col("cnt") == F.col("ca_"), F.expr("double('Infinity')")).otherwise(F.round((1 - sb) / F.nullif(1 - conf, F.lit(0.0)), 4)).alias("conviction"),
         F.round(s - F.col("ca_") / total * sb, 4).alias("leverage"), F.col("cnt"), conf.alias("c__"), lift.alias("l__"),
@@ -105,8 +102,20 @@ def association_rules(itemsets: DataFrame, n: int, min_confidence: float, min_li
     return rules.where((F.col("c__") >= min_confidence - 1e-12) & (F.col("l__") >= min_lift - 1e-12)).drop("c__", "l__")
 
 
-def top_rules(rules: DataFrame, n: int) -> DataFrame:
-    return rules.orderBy(F.desc("lift"), F.desc("confidence"), "antecedent", "consequent").limit(n)
+def top_rules(rules: DataFrame, n: int, by: str = "lift") -> DataFrame:
+    """The n best by lift (then confidence) or by confidence (then lift)."""
+    other = {"lift": "confidence", "confidence": "lift"}[by]
+    return rules.orderBy(F.desc(by), F.desc(other), "antecedent", "consequent").limit(n)
+
+
+def by_size_and_support(itemsets: DataFrame) -> DataFrame:
+    """Itemsets in the order of their size, the most frequent first."""
+    return itemsets.orderBy("k", F.desc("cnt"), F.array_join("items", ","))
+
+
+def cross_sell(rules: DataFrame) -> DataFrame:
+    """(consequent, n, best_lift) of the rules with one item on the left, by what they suggest."""
+    return rules.where("size_left = 1").groupBy("consequent").agg(F.count("*").alias("n"), F.max("lift").alias("best_lift"))
 
 
 def rule_summary(rules: DataFrame) -> DataFrame:
@@ -138,5 +147,6 @@ def frequency_summary(baskets: DataFrame, items: list[str]) -> DataFrame:
 
 
 def by_consequent(rules: DataFrame, consequent: str) -> DataFrame:
-    best = Window.orderBy(F.desc("lift"), F.desc("confidence"), "antecedent")
+    """The rules with this consequent, ranked."""
+    best = Window.partitionBy("consequent").orderBy(F.desc("lift"), F.desc("confidence"), "antecedent")
     return rules.where(F.col("consequent") == consequent).withColumn("rank", F.row_number().over(best))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import rules
 from .base import query, table
 
@@ -11,8 +13,9 @@ _B = "b AS (SELECT DISTINCT l_orderkey AS tid, split_part(p_type, ' ', 1) AS ite
 
 
 def _baskets(spark, sf_dir):
+    """Used several times by each query, so it is cut here."""
     li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("tid"), F.split("p_type", " ")[0].alias("item")).distinct()
+    return cut(li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("tid"), F.split("p_type", " ")[0].alias("item")).distinct())
 
 
 def _least(baskets) -> tuple[int, int]:
@@ -22,10 +25,12 @@ def _least(baskets) -> tuple[int, int]:
 
 
 _N = "n AS (SELECT count(DISTINCT tid) AS n, count(DISTINCT tid) // 20 AS least FROM b)"
-_SETS = f"""{_B}, {_N}, l1 AS (SELECT [item] AS items, 1 AS k, count(*) AS cnt FROM b GROUP BY item HAVING count(*) >= (SELECT least FROM n)),
-l2 AS (SELECT [x.item, y.item] AS items, 2 AS k, count(*) AS cnt FROM b x JOIN b y ON x.tid = y.tid AND x.item < y.item GROUP BY ALL HAVING count(*) >= (SELECT least FROM n)),
-l3 AS (SELECT [x.item, y.item, z.item] AS items, 3 AS k, count(*) AS cnt FROM b x JOIN b y ON x.tid = y.tid AND x.item < y.item JOIN b z ON y.tid = z.tid AND y.item < z.item GROUP BY ALL HAVING count(*) >= (SELECT least FROM n)),
-sets AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)"""
+# A basket is a number whose bits are its items; an itemset is in the baskets that have all its bits.
+_SETS = f"""{_B}, {_N}, i AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS p FROM (SELECT DISTINCT item FROM b)),
+baskets AS (SELECT bits, count(*) AS c FROM (SELECT tid, bit_or(1::BIGINT << p) AS bits FROM b JOIN i USING (item) GROUP BY tid) GROUP BY bits),
+masks AS (SELECT unnest(range(1, 1::BIGINT << (SELECT count(*) FROM i))) AS m),
+found AS (SELECT m, sum(c)::BIGINT AS cnt FROM masks JOIN baskets ON bits & m = m GROUP BY m HAVING sum(c) >= (SELECT least FROM n)),
+sets AS (SELECT list(item ORDER BY item) AS items, count(*)::INT AS k, any_value(cnt) AS cnt FROM found JOIN i ON (m >> p) & 1 = 1 GROUP BY m)"""
 
 
 @query(f"WITH {_B} SELECT item, count(*) AS cnt, round(count(*) / (SELECT count(DISTINCT tid) FROM b)::DOUBLE, 6) AS support FROM b GROUP BY item")
@@ -36,19 +41,19 @@ def item_support(spark, sf_dir):
 @query(f"WITH {_SETS} SELECT array_to_string(items, ',') AS items, k, cnt FROM sets")
 def apriori_itemsets(spark, sf_dir):
     b = _baskets(spark, sf_dir)
-    return rules.apriori(b, _least(b)[1], 3).select(F.array_join("items", ",").alias("items"), "k", "cnt")
+    return rules.apriori(b, _least(b)[1]).select(F.array_join("items", ",").alias("items"), "k", "cnt")
 
 
 @query(f"WITH {_SETS} SELECT array_to_string(items, ',') AS items, k, cnt FROM sets")
 def fp_growth_itemsets(spark, sf_dir):
     b = _baskets(spark, sf_dir)
-    return rules.fp_growth(b, _least(b)[1]).where("k <= 3").select(F.array_join("items", ",").alias("items"), "k", "cnt")
+    return rules.fp_growth(b, _least(b)[1]).select(F.array_join("items", ",").alias("items"), "k", "cnt")
 
 
 _RULES = f"""{_SETS}, m AS (SELECT items, k, cnt, unnest(range(1, (1 << k) - 1)) AS m FROM sets WHERE k >= 2),
 s AS (SELECT list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS a, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 0) AS c, cnt FROM m),
 j AS (SELECT s.a, s.c, s.cnt, x.cnt AS ca, y.cnt AS cb, n.n FROM s JOIN sets x ON x.items = s.a JOIN sets y ON y.items = s.c, n),
-rules AS (SELECT array_to_string(a, ',') AS antecedent, array_to_string(c, ',') AS consequent, round(cnt / n::DOUBLE, 4) AS support, round(cnt / ca::DOUBLE, 4) AS confidence, round(cnt / ca::DOUBLE / (cb / n::DOUBLE), 4) AS lift,
+rules AS (SELECT array_to_string(a, ',') AS antecedent, array_to_string(c, ',') AS consequent, len(a)::INT AS size_left, round(cnt / n::DOUBLE, 4) AS support, round(cnt / ca::DOUBLE, 4) AS confidence, round(cnt / ca::DOUBLE / (cb / n::DOUBLE), 4) AS lift,
   CASE WHEN cnt = ca THEN 'Infinity'::DOUBLE ELSE round((1 - cb / n::DOUBLE) / (1 - cnt / ca::DOUBLE), 4) END AS conviction, round(cnt / n::DOUBLE - ca / n::DOUBLE * (cb / n::DOUBLE), 4) AS leverage, cnt
   FROM j WHERE cnt / ca::DOUBLE >= 0.3 - 1e-12 AND cnt / ca::DOUBLE / (cb / n::DOUBLE) >= 0.9 - 1e-12)"""
 
@@ -56,7 +61,7 @@ rules AS (SELECT array_to_string(a, ',') AS antecedent, array_to_string(c, ',')
 def _rules(spark, sf_dir):
     b = _baskets(spark, sf_dir)
     n, least = _least(b)
-    return rules.association_rules(rules.apriori(b, least, 3), n, 0.3, 0.9)
+    return rules.association_rules(rules.apriori(b, least), n, 0.3, 0.9)
 
 
 @query(f"WITH {_RULES} SELECT * FROM rules")
@@ -74,11 +79,31 @@ def rule_summary(spark, sf_dir):
     return rules.rule_summary(_rules(spark, sf_dir))
 
 
-@query(f"WITH {_RULES} SELECT consequent, count(*) AS n, max(lift) AS best_lift FROM rules WHERE antecedent NOT LIKE '%,%' GROUP BY consequent")
+@query(f"WITH {_RULES} SELECT consequent, count(*) AS n, max(lift) AS best_lift FROM rules WHERE size_left = 1 GROUP BY consequent")
 def cross_sell(spark, sf_dir):
-    """Rules with one item on the left, by what they suggest."""
-    r = _rules(spark, sf_dir).where(~F.contains("antecedent", F.lit(",")))
-    return r.groupBy("consequent").agg(F.count("*").alias("n"), F.max("lift").alias("best_lift"))
+    return rules.cross_sell(_rules(spark, sf_dir))
+
+
+@query(f"WITH {_RULES} SELECT * FROM rules ORDER BY confidence DESC, lift DESC, antecedent, consequent LIMIT 1")
+def surest_rule(spark, sf_dir):
+    return rules.top_rules(_rules(spark, sf_dir), 1, "confidence")
+
+
+@query(f"WITH {_RULES} SELECT *, (row_number() OVER (ORDER BY lift DESC, confidence DESC, antecedent))::INT AS rank FROM rules WHERE consequent = 'PROMO'")
+def rules_for_promo(spark, sf_dir):
+    return rules.by_consequent(_rules(spark, sf_dir), "PROMO")
+
+
+@query(f"WITH {_SETS} SELECT array_to_string(items, ',') AS items, k, cnt, (row_number() OVER (PARTITION BY k ORDER BY cnt DESC, array_to_string(items, ',')))::INT AS place FROM sets ORDER BY k, place")
+def itemsets_by_size(spark, sf_dir):
+    b = _baskets(spark, sf_dir)
+    found = rules.by_size_and_support(rules.fp_growth(b, _least(b)[1])).select(F.array_join("items", ",").alias("items"), "k", "cnt")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("cnt"), "items")))
+
+
+@query(f"WITH {_B} SELECT count(*) AS cnt FROM (SELECT tid FROM b WHERE item IN ('PROMO', 'SMALL') GROUP BY tid HAVING count(*) = 2)")
+def pair_support(spark, sf_dir):
+    return rules.support_count(_baskets(spark, sf_dir), ["PROMO", "SMALL"])
 
 
 @query(f"WITH {_B}, {_N} SELECT item, count(*) AS cnt, count(*) >= (SELECT least FROM n) AS frequent FROM b WHERE item <> 'PROMO' AND tid IN (SELECT tid FROM b WHERE item = 'PROMO') GROUP BY item")
