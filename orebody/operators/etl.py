@@ -47,9 +47,9 @@ def cast_types(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 def derive(df: DataFrame, now: Column | None = None, created: str = "signup_date", amount: str = "amount") -> DataFrame:
     now = F.current_timestamp() if now is None else now
-    out = df.withColumn("loaded_at", now)
+    out = df.withColumn("etl_loaded_at", now)
     if created in df.columns:
-        out = out.withColumn("account_age_days", whole_days(F.col("loaded_at"), F.col(created).cast("timestamp")))
+        out = out.withColumn("account_age_days", whole_days(F.col("etl_loaded_at"), F.col(created).cast("timestamp")))
     if amount in df.columns:
         out = out.withColumn("amount_bucket", right_closed(F.col(amount), AMOUNT_EDGES, AMOUNT_LABELS))
     return out
@@ -96,33 +96,42 @@ def null_counts(df: DataFrame) -> DataFrame:
     )
 
 
+def _recover(spark: SparkSession, name: str) -> None:
+    """Makes good an upsert that stopped on its way. Without the target, __old is the target's last state and becomes it
+    again. With it, the merged rows have already taken its place, and __old is not needed."""
+    old = f"{name}__old"
+    if not spark.catalog.tableExists(old):
+        return
+    if spark.catalog.tableExists(name):
+        spark.sql(f"DROP TABLE {old}")
+    else:
+        spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+
+
 def load(df: DataFrame, name: str, mode: str = "append", key: str | None = None) -> int:
     """Loads into a catalogue table and returns the rows loaded. append and replace are plain writes. upsert needs a
     key; it writes the merged rows once, to a staging table, and renames that to the target. A load that stopped
-    between the two renames is made good by the next upsert."""
+    between the two renames is made good by the next load of any mode."""
     spark = df.sparkSession
+    if mode not in ("append", "replace", "upsert"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "upsert" and (key is None or key not in df.columns):
+        raise ValueError("upsert needs a key column")
+    _recover(spark, name)
     seen = Observation()
     counted = df.observe(seen, F.count("*").alias("rows"))
-    if mode == "upsert":
-        if key is None or key not in df.columns:
-            raise ValueError("upsert needs a key column")
-        staging, old = f"{name}__staging", f"{name}__old"
-        if not spark.catalog.tableExists(name) and spark.catalog.tableExists(old):
-            spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
     if mode == "append":
         counted.write.mode("append").saveAsTable(name)
-    elif mode == "replace" or (mode == "upsert" and not spark.catalog.tableExists(name)):
+    elif mode == "replace" or not spark.catalog.tableExists(name):
         counted.write.mode("overwrite").saveAsTable(name)
-    elif mode == "upsert":
+    else:
+        staging, old = f"{name}__staging", f"{name}__old"
         rows = int(df.count())
-        spark.sql(f"DROP TABLE IF EXISTS {old}")
         upserted(spark.table(name), df, key).write.mode("overwrite").saveAsTable(staging)
         spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
         spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
         spark.sql(f"DROP TABLE {old}")
         return rows
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
     return int(seen.get["rows"])
 
 
