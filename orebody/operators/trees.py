@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Collection
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,15 +98,22 @@ def _conditions(path: tuple) -> Column:
     return out
 
 
-def build_tree(df: DataFrame, nominal: list[str], numeric: list[str], label: str, min_rows: int = 2, ratio: bool = True, max_depth: int = 12) -> Node:
-    """ratio=False and no numeric attributes: multi-way splits by information gain (ID3). ratio=True: gain ratio,
-    binary numeric splits, an attribute is used once on a path (J48). A branch that no row takes is a leaf with its
-    parent's majority. The driver gets class counts per node, attribute and distinct value, so attributes of many
-    distinct values should be binned first."""
-    attributes = [*nominal, *numeric]
+MAX_CELLS = 1_000_000  # class counts of a level that the driver takes
+
+
+def build_tree(
+    df: DataFrame, attributes: list[str], label: str, numeric: Collection[str] = (), ratio: bool = True, min_rows: int | None = None,
+    max_depth: int | None = None,
+) -> Node:
+    """attributes in the order that settles ties; those in numeric split in two. ratio=False: by information gain
+    (ID3). ratio=True: by gain ratio (J48). An attribute is used once on a path. A node of min_rows or fewer rows is a
+    leaf (2 for J48, none for ID3); depth is not limited unless asked. A branch that no row takes is a leaf with its
+    parent's majority. The driver gets class counts per node, attribute and distinct value; a level with more than
+    MAX_CELLS of them is an error: bin attributes of many distinct values first."""
+    min_rows = (2 if ratio else 0) if min_rows is None else min_rows
     values: dict[str, set] = defaultdict(set)
     root = Node(None, {})
-    open_: dict[int, tuple[Node, tuple, list[str]]] = {0: (root, (), attributes)}
+    open_: dict[int, tuple[Node, tuple, list[str]]] = {0: (root, (), list(attributes))}
     first, depth = True, 0
     while open_:
         node_id = F.lit(None).cast("int")
@@ -114,7 +122,10 @@ def build_tree(df: DataFrame, nominal: list[str], numeric: list[str], label: str
         rows = df.where(F.col(label).isNotNull()).withColumn("node_", node_id).where("node_ is not null")
         long = rows.select("node_", F.col(label).cast("string").alias("y_"), F.inline(F.array(*(F.struct(F.lit(a).alias("a_"), F.col(a).cast("string").alias("v_")) for a in attributes))))
         got: dict = defaultdict(lambda: defaultdict(lambda: defaultdict(dict)))
-        for r in long.groupBy("node_", "a_", "v_", "y_").agg(F.count("*").alias("n_")).collect():
+        cells = long.groupBy("node_", "a_", "v_", "y_").agg(F.count("*").alias("n_")).limit(MAX_CELLS + 1).collect()
+        if len(cells) > MAX_CELLS:
+            raise ValueError("too many distinct values: bin the attributes first")
+        for r in cells:
             got[r["node_"]][r["a_"]][r["v_"]][r["y_"]] = r["n_"]
             if first and r["v_"] is not None:
                 values[r["a_"]].add(r["v_"])
@@ -126,7 +137,7 @@ def build_tree(df: DataFrame, nominal: list[str], numeric: list[str], label: str
                     counts[y] += c
             node.counts = dict(counts)
             node.label = _majority(counts) or node.label
-            if len(counts) < 2 or not left or node.n < min_rows or depth > max_depth:
+            if len(counts) < 2 or not left or node.n <= min_rows or (max_depth is not None and depth > max_depth):
                 continue
             best = (0.0, None, None)
             for a in left:
@@ -147,6 +158,14 @@ def build_tree(df: DataFrame, nominal: list[str], numeric: list[str], label: str
     return root
 
 
+def compare_trees(trees: dict[str, Node], sets: dict[str, DataFrame], label: str) -> DataFrame:
+    """(tree, nodes, leaves, rules, accuracy on each of the sets): pruned against unpruned."""
+    spark = next(iter(sets.values())).sparkSession
+    right = {s: df.agg(*(F.avg((predict(t) == F.col(label).cast("string")).cast("double")).alias(n) for n, t in trees.items())).first() for s, df in sets.items()}
+    rows = [(n, nodes(t), leaves(t), len(rules(t)), *(None if right[s][n] is None else round(right[s][n], 6) for s in sets)) for n, t in trees.items()]
+    return spark.createDataFrame(rows, ", ".join(["tree string", "nodes int", "leaves int", "rules int", *(f"{s}_accuracy double" for s in sets)]))
+
+
 def _score(cells: dict, counts: dict[str, int], numeric: bool, ratio: bool) -> tuple[float, float | None]:
     n, h = sum(counts.values()), _h(counts.values())
 

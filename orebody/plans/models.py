@@ -50,18 +50,29 @@ def _binned(spark, sf_dir):
 @query()
 def id3_rules(spark, sf_dir):
     rows = _binned(spark, sf_dir)
-    return trees.rules_frame(spark, trees.build_tree(rows, ["l_linestatus", "ship_year", "quantity_band"], [], "l_returnflag", ratio=False))
+    return trees.rules_frame(spark, trees.build_tree(rows, ["l_linestatus", "ship_year", "quantity_band"], "l_returnflag", ratio=False))
+
+
+def _grown(spark, sf_dir):
+    """Grown on four fifths, pruned on the rest."""
+    rows = _binned(spark, sf_dir).withColumn("k_", F.pmod(F.xxhash64("ship_year", "quantity_band", "discount", "tax"), F.lit(5)))
+    tree = trees.build_tree(rows.where("k_ <> 0"), ["ship_year", "quantity_band", "discount", "tax"], "l_returnflag", numeric=["discount", "tax"])
+    return rows, tree, trees.prune(tree, rows.where("k_ = 0"), "l_returnflag")
 
 
 @query()
 def j48_confusion(spark, sf_dir):
-    """Grown on four fifths, pruned on the rest, scored on all rows."""
-    rows = _binned(spark, sf_dir).withColumn("k_", F.pmod(F.xxhash64("ship_year", "quantity_band", "discount", "tax"), F.lit(5)))
-    tree = trees.build_tree(rows.where("k_ <> 0"), ["ship_year", "quantity_band"], ["discount", "tax"], "l_returnflag", max_depth=3)
-    tree = trees.prune(tree, rows.where("k_ = 0"), "l_returnflag")
+    """The pruned tree's predictions on all rows."""
+    rows, _, tree = _grown(spark, sf_dir)
     return evaluate.confusion(rows.withColumn("p_", trees.predict(tree)), "l_returnflag", "p_")
 
 
+@query()
+def pruning_comparison(spark, sf_dir):
+    rows, tree, pruned = _grown(spark, sf_dir)
+    return trees.compare_trees({"unpruned": tree, "pruned": pruned}, {"all": rows, "validation": rows.where("k_ = 0")}, "l_returnflag")
+
+
 _SCORED = "s AS (SELECT l_returnflag AS y, CASE WHEN l_linestatus = 'O' THEN 'N' WHEN l_quantity > 25 THEN 'A' ELSE 'R' END AS p FROM lineitem)"
 
 
