@@ -74,7 +74,7 @@ def test_gains(tennis):
 
 
 def test_id3(spark, tennis):
-    tree = trees.build_tree(tennis, ATTRIBUTES, [], "Play", ratio=False)
+    tree = trees.build_tree(tennis, ATTRIBUTES, "Play", ratio=False)
     assert tree.attribute == "Outlook" and tree.children["Sunny"].attribute == "Humidity" and tree.children["Rain"].attribute == "Wind"
     scored = tennis.withColumn("p", trees.predict(tree))
     assert one(evaluate.accuracy(scored, "Play", "p"))["accuracy"] == 1.0
@@ -87,6 +87,86 @@ def test_id3(spark, tennis):
     assert trees.leaves(trees.prune(tree, tennis, "Play", "global")) == 4
 
 
+#: Fixed values of the case: hours, attendance, assignments, grade, sleep, result.
+STUDENTS = [
+    (2, 55, "Poor", 42, 5, "Fail"), (3, 60, "Poor", 48, 6, "Fail"), (5, 70, "Good", 55, 7, "Pass"), (6, 75, "Good", 60, 7, "Pass"), (4, 65, "Poor", 50, 6, "Fail"),
+    (8, 85, "Excellent", 72, 7, "Merit"), (9, 90, "Excellent", 80, 8, "Merit"), (7, 80, "Good", 68, 7, "Pass"), (2, 50, "Poor", 40, 5, "Fail"), (6, 72, "Good", 63, 7, "Pass"),
+    (10, 92, "Excellent", 88, 8, "Merit"), (5, 68, "Good", 58, 7, "Pass"), (3, 55, "Poor", 45, 6, "Fail"), (8, 82, "Excellent", 75, 8, "Merit"), (4, 63, "Good", 52, 6, "Pass"),
+    (1, 45, "Poor", 35, 5, "Fail"), (7, 78, "Excellent", 70, 7, "Merit"), (6, 74, "Good", 65, 7, "Pass"), (9, 88, "Excellent", 82, 8, "Merit"), (3, 58, "Poor", 44, 6, "Fail"),
+    (8, 83, "Good", 74, 8, "Merit"), (3, 58, "Good", 46, 6, "Fail"), (6, 71, "Excellent", 61, 7, "Pass"), (5, 66, "Good", 54, 6, "Pass"), (4, 62, "Excellent", 49, 6, "Fail"),
+]
+
+
+def test_j48(spark):
+    names = ["hours", "attendance", "assignments", "grade", "sleep"]
+    df = spark.createDataFrame(STUDENTS, "hours int, attendance int, assignments string, grade int, sleep int, result string").cache()
+    numeric = [n for n in names if n != "assignments"]
+    best = {r["attribute"]: (round(r["gain_ratio"], 4), r["threshold"]) for r in trees.best_thresholds(df, numeric, "result").collect()}
+    assert best == {"hours": (0.8134, 4.5), "attendance": (0.8134, 65.5), "grade": (1.0, 51.0), "sleep": (0.7220, 6.5)}
+    tree = trees.build_tree(df, names, "result", numeric=numeric)
+    assert (trees.nodes(tree), trees.leaves(tree)) == (7, 4) and (tree.attribute, tree.threshold) == ("grade", 51.0)
+    hours = tree.children[">"]
+    assert tree.children["<="].counts == {"Fail": 9} and (hours.attribute, hours.threshold, round(hours.score, 4)) == ("hours", 7.5, 0.7288)
+    attendance = hours.children["<="]
+    assert (attendance.attribute, attendance.threshold, round(attendance.score, 4)) == ("attendance", 76.5, 0.3726)
+    assert [c.counts for c in attendance.children.values()] == [{"Pass": 8}, {"Pass": 1, "Merit": 1}] and hours.children[">"].counts == {"Merit": 6}
+    new = spark.createDataFrame([(8, 88, "Excellent", 78, 8), (2, 52, "Poor", 41, 5), (5, 70, "Good", 60, 7), (9, 91, "Excellent", 85, 8), (3, 61, "Poor", 49, 6)], names)
+    assert [r[0] for r in new.select(trees.predict(tree)).collect()] == ["Merit", "Fail", "Pass", "Merit", "Fail"]
+    pruned = trees.prune(tree, df, "result")
+    got = {r["tree"]: r for r in trees.compare_trees({"unpruned": tree, "pruned": pruned}, {"all": df}, "result").collect()}
+    assert (got["unpruned"]["nodes"], got["unpruned"]["leaves"], got["unpruned"]["all_accuracy"]) == (7, 4, 0.96) and got["pruned"]["nodes"] <= 7
+    # Fifteen attributes, each of which tells one row apart: a tree deeper than any fixed bound.
+    deep = spark.createDataFrame([tuple(int(i == k) for k in range(15)) + (("a", "b")[i % 2],) for i in range(16)], [*(f"x{k}" for k in range(15)), "y"])
+    tree = trees.build_tree(deep, [f"x{k}" for k in range(15)], "y", ratio=False)
+    assert one(evaluate.accuracy(deep.withColumn("p", trees.predict(tree)), "y", "p"))["accuracy"] == 1.0
+
+
+#: Fixed values of the case: ten flags of twenty customers.
+FLAGS = "Groceries Dining Fuel Travel Electronics Clothing Healthcare Streaming Shopping Utilities".split()
+CARDS = (
+    "1110001101 1010010111 0101100110 1110001001 1011010101 0101110110 1110001101 1100101011 1011010100 0101101110 "
+    "1110010101 1010101011 0101010110 1110001111 1011110001 0100101110 1110010101 1001101011 0111010100 1110001101"
+).split()
+
+
+def test_card_baskets(spark):
+    df = spark.createDataFrame([(n, *map(int, c)) for n, c in enumerate(CARDS)], ["customer", *FLAGS])
+    b = rules.baskets_from_flags(df, "customer", FLAGS)
+    sets = rules.apriori(b, 8).cache()
+    assert {r["k"]: r["n"] for r in sets.groupBy("k").agg(F.count("*").alias("n")).collect()} == {1: 10, 2: 14, 3: 6, 4: 1}
+    found = rules.association_rules(sets, 20, 0.65, 1.2).cache()
+    s = one(rules.rule_summary(found))
+    assert (s["n_rules"], s["avg_confidence"], s["avg_lift"]) == (33, 0.894, 1.419)
+    assert found.where("consequent like '%,%'").count() == 10 and found.where("conviction = double('Infinity')").count() == 12
+    top = one(rules.top_rules(found, 1))
+    assert (top["antecedent"], top["consequent"], top["lift"], top["confidence"], top["cnt"]) == ("Streaming,Utilities", "Fuel,Groceries", 1.6667, 1.0, 8)
+    assert one(rules.top_rules(found, 1, "confidence"))["confidence"] == 1.0 and rules.cross_sell(found).agg(F.sum("n")).first()[0] == found.where("size_left = 1").count()
+    assert [r["rank"] for r in rules.by_consequent(found, "Fuel").orderBy("rank").collect()] == list(range(1, found.where("consequent = 'Fuel'").count() + 1))
+    assert {tuple(r) for r in sets.select("items", "cnt").selectExpr("array_join(items, ',')", "cnt").collect()} == {tuple(r) for r in rules.fp_growth(b, 8).selectExpr("array_join(items, ',')", "cnt").collect()}
+
+
+def test_contact_lenses(spark):
+    #: Fixed values of the case: age, prescription, astigmatism, tear rate in the order of the product, and the lenses.
+    lenses = "none soft none hard none soft none hard none soft none hard none soft none none none none none hard none soft none none".split()
+    grid = [(a, p, s, t) for a in ("young", "pre-presbyopic", "presbyopic") for p in ("myope", "hypermetrope") for s in ("no", "yes") for t in ("reduced", "normal")]
+    df = spark.createDataFrame([(n, *g, x) for n, (g, x) in enumerate(zip(grid, lenses))], "id int, age string, presc string, astig string, tear string, lens string")
+    b = rules.baskets_from_attributes(df, "id", {c: c for c in ("age", "presc", "astig", "tear", "lens")})
+    for sets in (rules.apriori(b, 6), rules.fp_growth(b, 6)):
+        assert {r["k"]: r["n"] for r in sets.groupBy("k").agg(F.count("*").alias("n")).collect()} == {1: 10, 2: 18, 3: 4}
+        found = rules.association_rules(sets, 24, 0.7, 1.1).cache()
+        s = one(rules.rule_summary(found))
+        assert (s["n_rules"], s["avg_confidence"], s["avg_lift"]) == (11, 0.888, 1.566)
+        assert found.where("consequent like '%,%'").count() == 0 and found.where("confidence = 1").count() == 5
+    assert one(rules.item_support(b).orderBy(F.desc("cnt"))) == {"item": "lens=none", "cnt": 15, "support": 0.625}
+    assert [r["k"] for r in rules.by_size_and_support(sets).select("k").distinct().orderBy("k").collect()] == [1, 2, 3]
+
+
+def test_long_itemsets(spark):
+    b = baskets(spark, [set("abcdefghij")] * 3)
+    sets = rules.apriori(b, 2)
+    assert sets.count() == 1023 and one(sets.where("k = 10"))["cnt"] == 3
+
+
 def test_threshold(spark):
     df = spark.createDataFrame([(1.0, "a"), (2.0, "a"), (3.0, "b"), (4.0, "b"), (None, "b")], "x double, y string")
     got = one(trees.best_thresholds(df, ["x"], "y"))
@@ -164,6 +244,12 @@ def test_pipeline_and_stream(spark, tmp_path):
     with pytest.raises(ValueError):
         flow.run("xml", str(folder), "piped", kinds)
     spark.sql("ALTER TABLE piped RENAME TO piped__old")  # as if stopped between the renames
+    more = etl.transform(spark.createDataFrame([("6", "f@x", None, "1")], "id string, email string, signup_date string, amount string"), kinds, ["id"])
+    assert etl.load(more, "piped", "append") == 1 and {r["id"] for r in spark.table("piped").collect()} == {1, 2, 5, 6}
+    spark.sql("ALTER TABLE piped RENAME TO piped__old")
+    assert etl.load(more, "piped", "replace") == 1 and {r["id"] for r in spark.table("piped").collect()} == {6} and not spark.catalog.tableExists("piped__old")
+    flow.run("csv", str(folder), "piped", kinds, "replace")
+    spark.sql("ALTER TABLE piped RENAME TO piped__old")
     row = etl.transform(spark.createDataFrame([("7", "g@x", None, "1")], "id string, email string, signup_date string, amount string"), kinds, ["id"])
     assert etl.load(row, "piped", "upsert", "id") == 1
     assert {r["id"] for r in spark.table("piped").collect()} == {1, 2, 5, 7} and not spark.catalog.tableExists("piped__old")
