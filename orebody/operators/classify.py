@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import euclidean
-from .evaluate import averages, class_report
+from .blocks import block_pairs, distances, type_of, vectors
+from .evaluate import averages, class_report, confusion
 
 
 def zero_r(train: DataFrame, label: str) -> DataFrame:
@@ -27,26 +29,57 @@ def fit_gaussian(train: DataFrame, label: str, columns: list[str], smoothing: fl
     )
 
 
-def predict_gaussian(df: DataFrame, model: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """df with prediction: the class of largest log-density. The model has a row per class."""
+def predict_gaussian(df: DataFrame, model: DataFrame, columns: list[str]) -> DataFrame:
+    """df with prediction: the class of largest log-density, the larger label on ties, null where a feature is. The
+    model, a row per class, becomes one array that every row is scored against; rows are not joined back, so neither
+    repeated nor null keys matter."""
     score = F.log("prior_")
     for c in columns:
-        score = score - 0.5 * F.log(2 * math.pi * F.col(f"var_{c}")) - (F.col(c) - F.col(f"mu_{c}")) ** 2 / (2 * F.col(f"var_{c}"))
-    best = df.crossJoin(F.broadcast(model)).groupBy(key).agg(F.max_by("class_", score).alias("prediction"))
-    return df.join(best, key)
+        score = score - 0.5 * F.log(2 * math.pi * F.col(f"var_{c}"))
+    one = model.agg(
+        F.collect_list(
+            F.struct(
+                F.col("class_").alias("y"), score.alias("b"), F.array(*(F.col(f"mu_{c}") for c in columns)).alias("m"),
+                F.array(*(2 * F.col(f"var_{c}") for c in columns)).alias("v"),
+            )
+        ).alias("model_")
+    )
+    x = F.array(*(F.col(c).cast("double") for c in columns))
+
+    def density(k: Column) -> Column:
+        parts = F.zip_with(F.zip_with(x, k["m"], lambda p, q: (p - q) * (p - q)), k["v"], lambda p, q: p / q)
+        return F.struct((k["b"] - F.aggregate(parts, F.lit(0.0), lambda s, p: s + p)).alias("s"), k["y"].alias("y"))
+
+    best = F.array_max(F.transform("model_", density))
+    scored = df.crossJoin(F.broadcast(one)).withColumn("best_", best)  # one row
+    return scored.withColumn("prediction", F.when(F.col("best_.s").isNotNull(), F.col("best_.y"))).drop("model_", "best_")
 
 
 def nearest_neighbours(test: DataFrame, train: DataFrame, key: str, vector: str, label: str, k: int = 3) -> DataFrame:
-    """(key, prediction) by vote of the k nearest (ties: smaller training key; votes: smaller label). Every test row
-    meets every training row; each keeps its k nearest in a bounded aggregate, so distances are never shuffled."""
-    a = test.select(F.col(key).alias("t_"), F.col(vector).alias("vt_"))
-    b = train.select(F.col(key).alias("n_"), F.col(vector).alias("vn_"), F.col(label).alias("y_"))
-    d = F.round(euclidean(F.col("vt_"), F.col("vn_")), 9)
-    near = Window.partitionBy("t_").orderBy("d_", "n_")
-    rows = a.join(b).select("t_", "n_", "y_", d.alias("d_")).withColumn("r_", F.row_number().over(near)).where(F.col("r_") <= k)
-    votes = rows.groupBy("t_", "y_").agg(F.count("*").alias("v_"))
-    best = Window.partitionBy("t_").orderBy(F.desc("v_"), "y_")
-    return votes.withColumn("r_", F.row_number().over(best)).where("r_ = 1").select(F.col("t_").alias(key), F.col("y_").alias("prediction"))
+    """(key, prediction) by vote of the k nearest (ties: smaller training key; votes: smaller label). Test keys are
+    distinct. Each pair of blocks gives the k nearest of its test rows; what is shuffled is k rows for each test row and
+    training block."""
+    a = test.select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    b = train.select(F.col(key).alias("near"), F.col(vector).alias("vector"), F.col(label).alias("y"))
+
+    def work(p, q):
+        import numpy as np
+        import pandas as pd
+
+        q = q.sort_values("near", kind="stable")
+        keys, near, y, out = p["key"].to_numpy(), q["near"].to_numpy(), q["y"].to_numpy(), []
+        for part, d in distances(vectors(p["vector"]), vectors(q["vector"])):
+            d = np.round(d, 9)
+            at = np.argsort(d, axis=1, kind="stable")[:, :k]
+            own = np.repeat(keys[part], at.shape[1])
+            out.append(pd.DataFrame({"key": own, "near": near[at.ravel()], "y": y[at.ravel()], "d": np.take_along_axis(d, at, axis=1).ravel()}))
+        return pd.concat(out)
+
+    rows = block_pairs(a, b, work, f"key {type_of(a, 'key')}, near {type_of(b, 'near')}, y {type_of(b, 'y')}, d double")
+    first = Window.partitionBy("key").orderBy("d", "near")
+    votes = rows.withColumn("r_", F.row_number().over(first)).where(F.col("r_") <= k).groupBy("key", "y").agg(F.count("*").alias("v_"))
+    best = votes.groupBy("key").agg(F.min(F.struct((-F.col("v_")).alias("v"), "y")).alias("b"))
+    return best.select(F.col("key").alias(key), F.col("b.y").alias("prediction"))
 
 
 def _assembled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -75,7 +108,7 @@ def estimators(rows: int = 150, seed: int = 42) -> dict:
         "naive_bayes": NaiveBayes(modelType="gaussian"),
         "decision_tree": DecisionTreeClassifier(impurity="entropy", maxDepth=4, seed=seed),
         "logistic_regression": LogisticRegression(family="multinomial", maxIter=500, regParam=1.0 / rows, elasticNetParam=0.0, standardization=False),
-        "svm_rbf": OneVsRest(classifier=LinearSVC(maxIter=50, regParam=1.0 / rows)),
+        "svm_rbf": OneVsRest(classifier=LinearSVC(maxIter=50, regParam=1.0 / rows), parallelism=4),
         "random_forest": RandomForestClassifier(numTrees=100, seed=seed),
     }
 
@@ -89,32 +122,61 @@ def fit_predict(name: str, train: DataFrame, test: DataFrame, columns: list[str]
         (train, names), (test, _) = fourier_features(train, columns, gamma), fourier_features(test, columns, gamma)
     else:
         names = columns
-    model = estimators(n, seed)[name].setLabelCol(label).setFeaturesCol("features").fit(_assembled(train, names))
+    # Every iteration reads the assembled rows again; they are kept, not computed anew.
+    ready = _assembled(train, names).select(label, "features").persist()
+    model = estimators(n, seed)[name].setLabelCol(label).setFeaturesCol("features").fit(ready)
+    ready.unpersist()
     return model, model.transform(_assembled(test, names))
 
 
+def tree_rules(model, columns: list[str], spark) -> DataFrame:
+    """(rule_id, conditions, prediction) of an MLlib decision tree, a row per leaf, in the order of its text."""
+    rows: list[tuple] = []
+    path: list[str] = []
+    depth_of: dict[int, int] = {}  # indentation -> place in the path
+    for line in model.toDebugString.splitlines()[1:]:
+        depth, text = len(line) - len(line.lstrip()), line.strip()
+        if text.startswith("Predict:"):
+            rows.append((len(rows) + 1, " AND ".join(path), float(text.removeprefix("Predict:"))))
+            continue
+        test = re.sub(r"feature (\d+)", lambda m: columns[int(m[1])], text[text.index("(") + 1 : -1])
+        if text.startswith("If"):
+            path.append(test)
+        else:  # the other side of the test of the same depth
+            path[depth_of[depth] :] = [test]
+            continue
+        depth_of[depth] = len(path) - 1
+    return spark.createDataFrame(rows, "rule_id int, conditions string, prediction double")
+
+
 def importances(model, columns: list[str], spark) -> DataFrame:
     """(feature, importance), ascending."""
     rows = [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy("importance", "feature")
 
 
-def cross_validate(df: DataFrame, fold: str, names: list[str], columns: list[str], label: str) -> DataFrame:
-    """(model, fold, accuracy, weighted_f1) for every fold; zero_r is the majority rule."""
+def cross_validate(df: DataFrame, fold: str, names: list[str], columns: list[str], label: str, key: str | None = None, workers: int = 4) -> DataFrame:
+    """(model, fold, accuracy, weighted_f1) for every fold. zero_r is the majority rule; knn, three neighbours, needs a
+    key. Folds and models are independent, so the driver submits the jobs of several of them at a time."""
     spark = df.sparkSession
-    rows = []
-    for k in [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]:
+
+    def score(k: int, name: str) -> tuple:
         train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
-        for name in names:
-            if name == "zero_r":
-                scored = test.crossJoin(F.broadcast(zero_r(train, label)))
-            else:
-                _, scored = fit_predict(name, train, test, columns, label)
-            scored = scored.select(F.col(label).cast("double").alias("y"), F.col("prediction").cast("double").alias("p"))
-            report = class_report(scored, "y", "p")
-            f1 = averages(report).first()["weighted_f1"]
-            acc = scored.agg(F.avg((F.col("y") == F.col("p")).cast("double"))).first()[0]
-            rows.append((name, int(k), float(acc), float(f1)))
+        if name == "zero_r":
+            scored = test.crossJoin(F.broadcast(zero_r(train, label)))
+        elif name == "knn":
+            a, b = (d.withColumn("vector_", F.array(*columns)) for d in (test, train))
+            scored = test.join(nearest_neighbours(a, b, key, "vector_", label), key)
+        else:
+            _, scored = fit_predict(name, train, test, columns, label)
+        cells = confusion(scored.select(F.col(label).cast("double").alias("y"), F.col("prediction").cast("double").alias("p")), "y", "p").collect()
+        report = class_report(spark.createDataFrame([(r["actual"], r["predicted"], r["n"]) for r in cells], "y double, p double, n long"), "y", "p", "n")
+        n = sum(r["n"] for r in cells)
+        return name, int(k), sum(r["n"] for r in cells if r["actual"] == r["predicted"]) / n, float(averages(report).first()["weighted_f1"])
+
+    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
+    with ThreadPoolExecutor(workers) as pool:
+        rows = list(pool.map(lambda kn: score(*kn), [(k, name) for name in names for k in folds]))
     return spark.createDataFrame(rows, "model string, fold int, accuracy double, weighted_f1 double")
 
 

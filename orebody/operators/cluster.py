@@ -7,8 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import euclidean
 from ..functions.lineage import cut
+from .blocks import block_pairs, distances, vectors
+from .evaluate import silhouettes
 
 
 def squared_distance(columns: list[str], centre: list[float]):
@@ -65,14 +66,47 @@ def kmeans_restarts(df: DataFrame, columns: list[str], k: int, restarts: int = 1
     return best, best.transform(rows)
 
 
-def elbow(df: DataFrame, columns: list[str], ks: range, seed: int = 42) -> DataFrame:
-    """(k, wcss, drop_pct)"""
+def elbow(df: DataFrame, key: str, columns: list[str], ks: range, seed: int = 42) -> DataFrame:
+    """(k, wcss, drop_pct, silhouette, iterations, last_change): the drop to the next smaller k, the mean silhouette
+    (null for one cluster), and the rounds until rest with the change of the WCSS in the last."""
     rows, last = [], None
     for k in ks:
-        _, trace = kmeans(df, columns, plus_plus(df, columns, k, seed))
-        rows.append((k, trace[-1], None if not last else 100 * (last - trace[-1]) / last))
+        centres, trace = kmeans(df, columns, plus_plus(df, columns, k, seed))
+        mean = None
+        if k > 1:
+            placed = assign(df, columns, centres).withColumn("vector_", F.array(*columns))
+            mean = silhouettes(placed, key, "vector_", "cluster").agg(F.avg("silhouette")).first()[0]
+        change = trace[-2] - trace[-1] if len(trace) > 1 else 0.0
+        rows.append((k, trace[-1], None if not last else 100 * (last - trace[-1]) / last, mean, len(trace), change))
         last = trace[-1]
-    return df.sparkSession.createDataFrame(rows, "k int, wcss double, drop_pct double")
+    return df.sparkSession.createDataFrame(rows, "k int, wcss double, drop_pct double, silhouette double, iterations int, last_change double")
+
+
+def centre_table(model, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(cluster, size, centre coordinates) of an MLlib k-means model and its predictions."""
+    centres = [(k, *map(float, c)) for k, c in enumerate(model.clusterCenters())]
+    table = rows.sparkSession.createDataFrame(centres, ", ".join(["cluster int", *(f"{c} double" for c in columns)]))
+    sizes = rows.groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("size"))
+    return table.join(sizes, "cluster", "left").select("cluster", F.coalesce("size", F.lit(0)).alias("size"), *columns)
+
+
+def soft_assignments(rows: DataFrame, key: str) -> DataFrame:
+    """(key, cluster, one probability per component) of a mixture's predictions."""
+    from pyspark.ml.functions import vector_to_array
+
+    k = len(rows.select("probability").first()[0])
+    p = vector_to_array("probability")
+    return rows.select(key, F.col("prediction").alias("cluster"), *(F.round(p[i], 6).alias(f"p{i}") for i in range(k)))
+
+
+def without_noise(clusters: DataFrame) -> DataFrame:
+    return clusters.where("cluster >= 0")
+
+
+def density_summary(clusters: DataFrame) -> DataFrame:
+    """One row: clusters, noise points, rows."""
+    found = F.when(F.col("cluster") >= 0, F.col("cluster"))
+    return clusters.agg(F.count_distinct(found).alias("n_clusters"), F.count_if(F.col("cluster") < 0).alias("n_noise"), F.count("*").alias("n_rows"))
 
 
 def gaussian_mixture(df: DataFrame, columns: list[str], k: int = 3, seed: int = 42):
@@ -208,8 +242,14 @@ def cophenetic(df: DataFrame, key: str, columns: list[str], steps: DataFrame) ->
 
 
 def linkage_distance(df: DataFrame, key: str, vector: str, cluster: str, a: int, b: int) -> DataFrame:
-    """Single, complete and average distance of two clusters."""
-    left = df.where(F.col(cluster) == a).select(F.col(vector).alias("x_"))
-    right = df.where(F.col(cluster) == b).select(F.col(vector).alias("y_"))
-    d = left.join(right).select(euclidean(F.col("x_"), F.col("y_")).alias("d"))
-    return d.agg(F.min("d").alias("single"), F.max("d").alias("complete"), F.avg("d").alias("average"))
+    """Single, complete and average distance of two clusters, from extremes and sums by pairs of blocks."""
+    left, right = (df.where(F.col(cluster) == c).select(F.col(vector).alias("vector")) for c in (a, b))
+
+    def work(p, q):
+        import pandas as pd
+
+        strips = [(d.min(), d.max(), d.sum(), d.size) for _, d in distances(vectors(p["vector"]), vectors(q["vector"]))]
+        return pd.DataFrame(strips, columns=["least", "most", "total", "n"])
+
+    d = block_pairs(left, right, work, "least double, most double, total double, n long")
+    return d.agg(F.min("least").alias("single"), F.max("most").alias("complete"), (F.sum("total") / F.sum("n")).alias("average"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import euclidean
+from .blocks import block_pairs, distances, type_of, vectors
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -16,9 +16,12 @@ def accuracy(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.agg(F.round(F.avg((F.col(actual) == F.col(predicted)).cast("double")), 6).alias("accuracy"))
 
 
-def class_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """(label, precision, recall, f1, support); 0 for empty denominators. One pass; then a row per class."""
+def class_report(df: DataFrame, actual: str, predicted: str, count: str | None = None) -> DataFrame:
+    """(label, precision, recall, f1, support); 0 for empty denominators. One pass; then a row per class. count: the
+    column of rows' numbers, if df has them counted already."""
     cells = confusion(df, actual, predicted)
+    if count:
+        cells = df.select(F.col(actual).alias("actual"), F.col(predicted).alias("predicted"), F.col(count).alias("n"))
     sides = cells.select(
         F.inline(
             F.array(
@@ -62,24 +65,44 @@ def dominant_clusters(df: DataFrame, label: str, cluster: str) -> DataFrame:
 
 
 def calinski_harabasz(df: DataFrame, cluster: str, columns: list[str]) -> DataFrame:
-    """Between and within sums of squares from one aggregation by cluster."""
-    sums = df.groupBy(cluster).agg(F.count("*").alias("n_"), *(F.avg(c).alias(f"m_{c}") for c in columns), *(F.sum(F.col(c).cast("double") * F.col(c)).alias(f"q_{c}") for c in columns))
-    within = sum((F.col(f"q_{c}") - F.col("n_") * F.col(f"m_{c}") ** 2 for c in columns), F.lit(0.0))
-    total = sum((F.sum(f"q_{c}") - F.sum(F.col("n_") * F.col(f"m_{c}")) ** 2 / F.sum("n_") for c in columns), F.lit(0.0))
-    got = sums.agg(F.sum(within).alias("w"), total.alias("t"), F.sum("n_").alias("n"), F.count("*").alias("k"))
-    score = F.try_divide((F.col("t") - F.col("w")) / (F.col("k") - 1), F.col("w") / (F.col("n") - F.col("k")))
+    """Between and within sums of squares from one aggregation by cluster; variances, not sums of squares, so large
+    values cancel nothing."""
+    sums = df.groupBy(cluster).agg(F.count("*").alias("n_"), *(F.avg(c).alias(f"m_{c}") for c in columns), *(F.var_pop(c).alias(f"v_{c}") for c in columns))
+    all_ = sums.agg(F.sum("n_").alias("t_"), *((F.sum(F.col("n_") * F.col(f"m_{c}")) / F.sum("n_")).alias(f"c_{c}") for c in columns))
+    within = sum((F.col("n_") * F.col(f"v_{c}") for c in columns), F.lit(0.0))
+    between = sum((F.col("n_") * (F.col(f"m_{c}") - F.col(f"c_{c}")) ** 2 for c in columns), F.lit(0.0))
+    got = sums.crossJoin(F.broadcast(all_)).agg(F.sum(within).alias("w"), F.sum(between).alias("b"), F.sum("n_").alias("n"), F.count("*").alias("k"))
+    score = F.try_divide(F.col("b") / (F.col("k") - 1), F.col("w") / (F.col("n") - F.col("k")))
     return got.select(F.round(score, 4).alias("calinski_harabasz"))
 
 
 def silhouettes(df: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
-    """(key, cluster, silhouette) by Euclidean distance; 0 for a cluster of one. All pairs: for thousands of rows."""
-    a = df.select(F.col(key).alias("i_"), F.col(cluster).alias("ci_"), F.col(vector).alias("vi_"))
-    b = df.select(F.col(key).alias("j_"), F.col(cluster).alias("cj_"), F.col(vector).alias("vj_"))
-    near = a.join(b, F.col("i_") != F.col("j_")).groupBy("i_", "ci_", "cj_").agg(F.avg(euclidean(F.col("vi_"), F.col("vj_"))).alias("d_"))
-    own, other = F.max(F.when(F.col("ci_") == F.col("cj_"), F.col("d_"))), F.min(F.when(F.col("ci_") != F.col("cj_"), F.col("d_")))
-    s = near.groupBy("i_", "ci_").agg(own.alias("a"), other.alias("b"))
+    """(key, cluster, silhouette) by Euclidean distance; 0 for a cluster of one. Keys are distinct. A task gives, for the
+    rows of its block, the sum of distances to each cluster of another."""
+    rows = df.select(F.col(key).alias("key"), F.col(cluster).alias("own"), F.col(vector).alias("vector"))
+
+    def work(p, q):
+        import numpy as np
+        import pandas as pd
+
+        groups, at = np.unique(q["own"].to_numpy(), return_inverse=True)
+        one = np.zeros((len(q), len(groups)))
+        one[np.arange(len(q)), at] = 1
+        keys, other, out = p["key"].to_numpy(), q["key"].to_numpy(), []
+        for part, d in distances(vectors(p["vector"]), vectors(q["vector"])):
+            apart = (keys[part, None] != other[None, :]).astype(float)
+            sums, counts = (d * apart) @ one, apart @ one
+            i, g = np.nonzero(counts)
+            out.append(pd.DataFrame({"key": keys[part][i], "own": p["own"].to_numpy()[part][i], "other": groups[g], "s": sums[i, g], "n": counts[i, g].astype(int)}))
+        return pd.concat(out)
+
+    k, c = type_of(rows, "key"), type_of(rows, "own")
+    near = block_pairs(rows, rows, work, f"key {k}, own {c}, other {c}, s double, n long")
+    near = near.groupBy("key", "own", "other").agg((F.sum("s") / F.sum("n")).alias("d_"))
+    own, other = F.max(F.when(F.col("own") == F.col("other"), F.col("d_"))), F.min(F.when(F.col("own") != F.col("other"), F.col("d_")))
+    s = near.groupBy("key", "own").agg(own.alias("a"), other.alias("b"))
     value = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return s.select(F.col("i_").alias(key), F.col("ci_").alias(cluster), value.alias("silhouette"))
+    return s.select(F.col("key").alias(key), F.col("own").alias(cluster), value.alias("silhouette"))
 
 
 def silhouette_summary(s: DataFrame, cluster: str) -> DataFrame:

@@ -82,14 +82,28 @@ def dominant_clusters(spark, sf_dir):
     return evaluate.dominant_clusters(e, "label", "c")
 
 
-@query(f"""WITH RECURSIVE {_Z}, l AS (SELECT a.id AS i, b.id AS j FROM z a JOIN z b ON sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 0.3),
+_DENSE = f"""WITH RECURSIVE {_Z}, l AS (SELECT a.id AS i, b.id AS j FROM z a JOIN z b ON sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 0.3),
 core AS (SELECT i FROM l GROUP BY i HAVING count(*) >= 5), e AS (SELECT i, j FROM l WHERE i IN (FROM core) AND j IN (FROM core)),
-r AS (SELECT i, i AS c FROM core UNION SELECT e.j, r.c FROM r JOIN e ON e.i = r.i), m AS (SELECT i, min(c) AS c FROM r GROUP BY i), k AS (SELECT i, dense_rank() OVER (ORDER BY c) - 1 AS cluster FROM m)
-SELECT z.id, coalesce(k.cluster, (SELECT min(k2.cluster) FROM l JOIN k k2 ON k2.i = l.j WHERE l.i = z.id), -1)::INT AS cluster FROM z LEFT JOIN k ON k.i = z.id""")
+r AS (SELECT i, i AS c FROM core UNION SELECT e.j, r.c FROM r JOIN e ON e.i = r.i), m AS (SELECT i, min(c) AS c FROM r GROUP BY i), k AS (SELECT i, dense_rank() OVER (ORDER BY c) - 1 AS cluster FROM m),
+dense AS (SELECT z.id, coalesce(k.cluster, (SELECT min(k2.cluster) FROM l JOIN k k2 ON k2.i = l.j WHERE l.i = z.id), -1)::INT AS cluster FROM z LEFT JOIN k ON k.i = z.id)"""
+
+
+@query(f"{_DENSE} SELECT id, cluster FROM dense")
 def density_clusters(spark, sf_dir):
     return cluster.dbscan(_suppliers(spark, sf_dir), "id", ["x", "y"], 0.3, 5)
 
 
+@query(f"{_DENSE} SELECT id, cluster FROM dense WHERE cluster >= 0")
+def clustered_points(spark, sf_dir):
+    """Noise left out."""
+    return cluster.without_noise(density_clusters(spark, sf_dir))
+
+
+@query(f"{_DENSE} SELECT count(DISTINCT cluster) FILTER (cluster >= 0) AS n_clusters, count_if(cluster < 0)::BIGINT AS n_noise, count(*) AS n_rows FROM dense")
+def density_summary(spark, sf_dir):
+    return cluster.density_summary(density_clusters(spark, sf_dir))
+
+
 @query(f"""WITH {_SIDE}, d AS (SELECT sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS d FROM q a, q b WHERE a.c = 0 AND b.c = 2) SELECT round(min(d), 6) AS single, round(max(d), 6) AS complete, round(avg(d), 6) AS average FROM d""")
 def linkage_distances(spark, sf_dir):
     d = cluster.linkage_distance(_sided(spark, sf_dir), "id", "v", "c", 0, 2)
@@ -116,10 +130,24 @@ def linkage_comparison(spark, sf_dir):
 
 @query()
 def elbow(spark, sf_dir):
-    return cluster.elbow(_suppliers(spark, sf_dir).cache(), ["x", "y"], range(1, 6))
+    return cluster.elbow(_suppliers(spark, sf_dir).cache(), "id", ["x", "y"], range(1, 11))
 
 
 @query()
 def mixture_scores(spark, sf_dir):
     model, _, ll, bic, aic = cluster.gaussian_mixture(_suppliers(spark, sf_dir), ["x", "y"], 3)
     return spark.createDataFrame([(float(ll), float(bic), float(aic), len(model.weights))], "log_likelihood double, bic double, aic double, components int")
+
+
+@query()
+def soft_assignments(spark, sf_dir):
+    """Each supplier's probability of every component, and the likeliest one."""
+    _, rows, *_ = cluster.gaussian_mixture(_suppliers(spark, sf_dir), ["x", "y"], 3)
+    return cluster.soft_assignments(rows, "id")
+
+
+@query()
+def best_of_restarts(spark, sf_dir):
+    """k-means from ten seeds: the cheapest model's clusters with their sizes and centres."""
+    model, rows = cluster.kmeans_restarts(_suppliers(spark, sf_dir), ["x", "y"], 3)
+    return cluster.centre_table(model, rows, ["x", "y"])

@@ -174,7 +174,7 @@ def distance_matrix(spark, sf_dir):
 @query(f"""WITH p AS (SELECT i, j, round(d, 6) AS d FROM ({_SUPPLIER_PAIRS}))
 (SELECT 'closest' AS kind, i, j, d FROM p ORDER BY d, i, j LIMIT 1) UNION ALL (SELECT 'farthest' AS kind, i, j, d FROM p ORDER BY d DESC, i, j LIMIT 1)""")
 def extreme_pairs(spark, sf_dir):
-    return stats.extreme_pairs(stats.pairwise(_supplier_vectors(spark, sf_dir), "s_suppkey", "v").withColumn("d", F.round("d", 6)))
+    return stats.extreme_pairs(_supplier_vectors(spark, sf_dir), "s_suppkey", "v")
 
 
 @query("""WITH e AS (SELECT min(l_extendedprice) AS a, max(l_extendedprice) AS b FROM lineitem),
