@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip
+from ..functions.ordering import order_statistics, running_totals
 
 
 def _with(df: DataFrame, params: DataFrame) -> DataFrame:
@@ -14,14 +15,23 @@ def _with(df: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def fit_fill(df: DataFrame, columns: dict[str, str], exact: bool = True) -> DataFrame:
-    """columns: name -> mean, median or mode (the smallest of equally frequent values). Medians are exact, or with
-    exact=False within 1/10,000 of a rank in bounded memory."""
-    kinds = {
-        "mean": F.avg,
-        "median": F.median if exact else lambda c: F.percentile_approx(c, 0.5, 10_000),
-        "mode": lambda c: F.mode(c, True),
-    }
-    return df.agg(*(kinds[k](F.col(c)).alias(f"{c}_fill") for c, k in columns.items()))
+    """columns: name -> mean, median or mode (the smallest of equally frequent values). Medians are exact, from counts of
+    distinct values, or with exact=False within 1/10,000 of a rank. A mode is that of counted values, too."""
+    out = df.agg(*(F.avg(c).alias(f"{c}_fill") for c, k in columns.items() if k == "mean"), F.lit(0).alias("none_"))
+    for c, k in columns.items():
+        if k == "median" and exact:
+            one = order_statistics(df, [c], [0.5]).agg(F.max(F.col("q")[0]).alias(f"{c}_fill"))
+        elif k == "median":
+            one = df.agg(F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_fill"))
+        elif k == "mode":
+            counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v_")).agg(F.count("*").alias("n_"))
+            one = counts.agg(F.min(F.struct((-F.col("n_")).alias("n_"), "v_")).alias("b_")).select(F.col("b_.v_").alias(f"{c}_fill"))
+        elif k == "mean":
+            continue
+        else:
+            raise ValueError(f"unknown kind {k!r}")
+        out = out.crossJoin(one)  # one row each
+    return out.drop("none_")
 
 
 def apply_fill(df: DataFrame, params: DataFrame) -> DataFrame:
@@ -91,15 +101,14 @@ def equal_width(df: DataFrame, column: str, bins: int, name: str) -> DataFrame:
 
 def equal_frequency(df: DataFrame, column: str, bins: int, name: str) -> DataFrame:
     """Ordinals by quantile cuts: the number of inner cuts that the value exceeds."""
-    cuts = df.agg(F.percentile(column, F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("cuts_"))
+    cuts = order_statistics(df, [column], [k / bins for k in range(1, bins)]).agg(F.max("q").alias("cuts_"))
     return _with(df, cuts).withColumn(name, F.size(F.filter("cuts_", lambda c: c < F.col(column)))).drop("cuts_")
 
 
 def fit_labels(df: DataFrame, column: str) -> DataFrame:
     """(value, code): the codes follow the order of the values. One row per distinct value."""
-    return df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().select(
-        "value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code")
-    )
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().withColumn("one_", F.lit(1))
+    return running_totals(values, ["value"], "one_", "code").drop("one_")
 
 
 def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -122,7 +131,8 @@ def clip_to(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
 
 
 def fit_iqr(df: DataFrame, columns: list[str], factor: float = 1.5, by: list[str] | None = None) -> DataFrame:
-    quarts = df.groupBy(*(by or [])).agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"{c}_q") for c in columns))
+    found = order_statistics(df, columns, [0.25, 0.75], by)
+    quarts = found.groupBy(*(by or [])).agg(*(F.max(F.when(F.col("column") == c, F.col("q"))).alias(f"{c}_q") for c in columns))
     parts = []
     for c in columns:
         q1, q3 = F.col(f"{c}_q")[0], F.col(f"{c}_q")[1]
