@@ -21,7 +21,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | StructType | None = N
 
 class _Rows(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
-        self.options, self.names = options, schema.fieldNames()
+        self.options, self.schema, self.names = options, schema, schema.fieldNames()
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(0)]
@@ -29,24 +29,29 @@ class _Rows(DataSourceReader):
 
 class _SqliteReader(_Rows):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        as_text = [f.dataType.typeName() == "string" for f in self.schema.fields]
         with sqlite3.connect(self.options["path"]) as db:
             for row in db.execute(self.options["query"]):
-                yield tuple(None if x is None else str(x) for x in row)
+                yield tuple(x if x is None or not t else x.decode(errors="replace") if isinstance(x, bytes) else str(x) for x, t in zip(row, as_text))
 
 
 class SqliteSource(DataSource):
-    """A query's rows as strings. The file must be on a folder that the executors share."""
+    """A query's rows, typed by what its columns hold: integers, numbers, blobs, or else text. The file must be on a
+    folder that the executors share; SQLite has no parallel read, so it is one partition."""
 
     @classmethod
     def name(cls) -> str:
         return "sqlite_query"
 
     def schema(self) -> StructType:
-        with sqlite3.connect(self.options["path"]) as db:
-            names = [c[0] for c in db.execute(f"SELECT * FROM ({self.options['query']}) LIMIT 0").description]
         out = StructType()
-        for n in names:
-            out = out.add(n, "string")
+        with sqlite3.connect(self.options["path"]) as db:
+            query = self.options["query"]
+            for (name, *_) in db.execute(f"SELECT * FROM ({query}) LIMIT 0").description:
+                quoted = '"' + name.replace('"', '""') + '"'
+                held = {r[0] for r in db.execute(f"SELECT DISTINCT typeof({quoted}) FROM ({query})")} - {"null"}
+                kinds = (({"integer"}, "long"), ({"integer", "real"}, "double"), ({"blob"}, "binary"))
+                out = out.add(name, next((kind for of, kind in kinds if held and held <= of), "string"))
         return out
 
     def reader(self, schema: StructType) -> DataSourceReader:
@@ -92,27 +97,42 @@ def read_rest(spark: SparkSession, url: str, schema: str, params: dict | None =
 
 
 def weather(spark: SparkSession, hours: int = 1000, seed: int = 42, null_share: float = 0.08) -> DataFrame:
-    """Synthetic hourly weather from 2023-01-01 with nulls, spikes and 20 repeated rows."""
+    """Synthetic hourly weather from 2023-01-01: temperature and humidity follow the month, rain falls in moist hours;
+    about null_share of five columns is missing, 15, 10 and 8 values are spikes, and 20 random rows come twice."""
     from pyspark.sql import functions as F
 
     u = lambda k: F.rand(seed + k)
+    picked = lambda k, n: base.select("id").orderBy(F.xxhash64("id", F.lit(seed + k))).limit(n)
+    one_of = lambda k, *v: F.element_at(F.array(*map(F.lit, v)), (F.floor(u(k) * len(v)) + 1).cast("int"))
     hour = F.expr("timestamp'2023-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id as int))")
     base = spark.range(hours, numPartitions=1).select("id", hour.alias("timestamp"))
-    season = F.element_at(F.array(*map(F.lit, ("winter", "spring", "summer", "autumn"))), F.ceil(F.month("timestamp") / 3).cast("int"))
-    pick = lambda k, *v: F.element_at(F.array(*map(F.lit, v)), (F.floor(u(k) * len(v)) + 1).cast("int"))
+    month, share = F.month("timestamp"), u(6)
+    # Fixed values of the data set: levels, spreads, shares of the conditions.
     rows = base.select(
-        "timestamp",
-        (15 + 10 * F.sin(2 * F.pi() * F.col("id") / 24) + 3 * F.randn(seed)).alias("temperature"),
-        (60 + 15 * F.randn(seed + 1)).alias("humidity"),
+        "id", "timestamp",
+        (15 + 10 * F.sin((month - 3) * F.pi() / 6) + 4 * F.randn(seed)).alias("temperature"),
+        F.greatest(F.lit(10.0), F.least(F.lit(100.0), 60 + 15 * F.sin(month * F.pi() / 6) + 10 * F.randn(seed + 1))).alias("humidity"),
         (12 * F.sqrt(-F.log(1 - u(2)))).alias("wind_speed"),
         (1013 + 8 * F.randn(seed + 3)).alias("pressure"),
         (-3 * F.log(1 - u(4))).alias("rainfall"),
-        (10 + 2 * F.randn(seed + 5)).alias("visibility"),
-        pick(6, "clear", "cloudy", "rain", "fog").alias("weather_condition"),
-        season.alias("season"),
-        pick(7, "N", "E", "S", "W").alias("wind_direction"),
-    )
-    for k, (c, spike) in enumerate((("temperature", 60.0), ("humidity", 180.0), ("wind_speed", 250.0), ("pressure", None), ("visibility", None))):
-        value = F.when(u(20 + k) < 0.012, F.lit(spike)).otherwise(F.col(c)) if spike else F.col(c)
-        rows = rows.withColumn(c, F.when(u(10 + k) < null_share, None).otherwise(value))
-    return rows.unionByName(rows.orderBy("timestamp").limit(20))
+        F.greatest(F.lit(0.0), F.least(F.lit(20.0), 10 + 3 * F.randn(seed + 5))).alias("visibility"),
+        share.alias("share"),
+        F.element_at(F.array(*map(F.lit, ("winter", "spring", "summer", "autumn"))), F.ceil(month / 3).cast("int")).alias("season"),
+        one_of(7, "N", "NE", "E", "SE", "S", "SW", "W", "NW").alias("wind_direction"),
+    )
+    rows = rows.withColumn("rainfall", F.when(F.col("humidity") > 75, F.col("rainfall")).otherwise(0.0))
+    kinds = (("sunny", 0.35), ("cloudy", 0.65), ("rainy", 0.85), ("foggy", 0.95))
+    condition = F.lit("stormy")
+    for name, upto in reversed(kinds):
+        condition = F.when(F.col("share") < upto, name).otherwise(condition)
+    rows = rows.withColumn("weather_condition", condition).drop("share")
+    spikes = {"temperature": (15, one_of(30, 65.0, -50.0, 80.0)), "wind_speed": (10, 120 + 80 * u(31)), "humidity": (8, one_of(32, 110.0, 150.0, -5.0))}
+    for k, c in enumerate(("temperature", "humidity", "wind_speed", "pressure", "visibility")):
+        rows = rows.withColumn(c, F.when(u(10 + k) >= null_share, F.round(c, 1)))
+        if c in spikes:
+            n, value = spikes[c]
+            rows = rows.join(F.broadcast(picked(k, n).withColumn("spike", value)), "id", "left")  # n rows
+            rows = rows.withColumn(c, F.coalesce("spike", c)).drop("spike")
+    rows = rows.withColumn("rainfall", F.round("rainfall", 1))
+    names = ["timestamp", "temperature", "humidity", "wind_speed", "pressure", "rainfall", "visibility", "weather_condition", "season", "wind_direction"]
+    return rows.unionByName(rows.join(F.broadcast(picked(99, 20)), "id", "left_semi")).select(*names)
