@@ -270,12 +270,48 @@ def test_sources(spark, tmp_path):
     with sqlite3.connect(path) as db:
         db.execute("CREATE TABLE source (id INTEGER, name TEXT)")
         db.executemany("INSERT INTO source VALUES (?, ?)", [(1, "a"), (2, None)])
-    assert {tuple(r) for r in readers.read_sqlite(spark, path).collect()} == {("1", "a"), ("2", None)}
+        db.execute("CREATE TABLE kinds AS SELECT 1 AS i, 1.5 AS r, x'00ff' AS b, 'x' AS t, NULL AS n UNION ALL SELECT 2, 3, NULL, 4, NULL")
+    assert {tuple(r) for r in readers.read_sqlite(spark, path).collect()} == {(1, "a"), (2, None)}
+    kinds = readers.read_sqlite(spark, path, "SELECT * FROM kinds")
+    assert dict(kinds.dtypes) == {"i": "bigint", "r": "double", "b": "binary", "t": "string", "n": "string"}
+    assert {(r["i"], r["r"], None if r["b"] is None else bytes(r["b"]), r["t"]) for r in kinds.collect()} == {(1, 1.5, b"\x00\xff", "x"), (2, 3.0, None, "4")}
     (tmp_path / "x.csv").write_text("id,v\n1,a\n2,b\n")
     assert readers.read_csv(spark, str(tmp_path / "x.csv")).count() == 2
     assert readers.json_records('{"results": [1]}') == [1] and readers.json_records("[2]") == [2] and readers.json_records('{"a": 1}') == [{"a": 1}]
-    w = readers.weather(spark, 200)
-    assert w.count() == 220 and w.where("humidity is null").count() > 0
+    w = readers.weather(spark, 1000).cache()
+    n = {c: w.where(F.col(c).isNull()).count() for c in w.columns}
+    assert w.count() == 1020 and w.distinct().count() == 1000 and all(40 < n[c] < 130 for c in ("temperature", "humidity", "wind_speed", "pressure", "visibility"))
+    once = w.distinct()
+    assert once.where("temperature > 60 or temperature < -40").count() == 15 and once.where("wind_speed >= 120").count() == 10
+    assert once.where("humidity > 100 or humidity < 10").count() == 8 and w.select("season").distinct().count() == 1
+
+
+def test_rest(spark):
+    import http.server
+    import json
+    import threading
+
+    seen = []
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append(self.path)
+            body = json.dumps({"results": [{"id": 1, "v": "a"}, {"id": 2}]}).encode()
+            self.send_response(404 if "missing" in self.path else 200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/rows"
+    assert {tuple(r) for r in readers.read_rest(spark, url, "id string, v string", {"page": 1}).collect()} == {("1", "a"), ("2", None)}
+    assert "/rows?page=1" in seen
+    with pytest.raises(Exception, match="404"):
+        readers.read_rest(spark, url + "/missing", "id string").collect()
+    server.shutdown()
 
 
 def test_splits_and_scaling(spark):
