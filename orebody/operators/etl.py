@@ -154,11 +154,17 @@ class Pipeline:
         # Counted while the rows are loaded: the source is read once, but for an upsert's own count and join.
         seen, judged = Observation(), Observation()
         rows = transform(raw.observe(seen, F.count("*").alias("rows")), kinds, self.required)
-        rows = rows.observe(judged, F.count_if(~F.col("is_valid")).alias("rejected"))
+        rows = rows.observe(judged, F.count("*").alias("rows"), F.count_if(~F.col("is_valid")).alias("rejected"))
         loaded = load(rows.where("is_valid"), target, mode, key)
         stats = {
-            "rows_extracted": seen.get["rows"], "rows_loaded": loaded, "rows_rejected": judged.get["rejected"],
-            "duration_sec": round(time.monotonic() - began, 3),
+            "rows_extracted": seen.get["rows"], "rows_transformed": judged.get["rows"], "rows_rejected": judged.get["rejected"],
+            "rows_loaded": loaded, "duration_sec": round(time.monotonic() - began, 3),
         }
-        log.info("%s", stats)
+        for line in report(stats).splitlines():
+            log.info(line)
         return stats
+
+
+def report(stats: dict[str, float]) -> str:
+    """A run's counts, a line for each stage."""
+    return "\n".join(f"{name.replace('_', ' '):<18}{value:>14,}" for name, value in stats.items())

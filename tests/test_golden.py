@@ -210,6 +210,45 @@ def test_kmeans_and_scores(spark):
     assert len(set(cluster.cut_merges(steps, 30, 5.0))) == 3
 
 
+#: Fixed values of the case: years, performance, grade.
+EMPLOYEES = [
+    (1, 55, 2), (2, 60, 3), (1, 52, 2), (3, 65, 3), (5, 70, 5), (6, 75, 5), (4, 68, 4), (5, 72, 5), (8, 80, 7), (9, 85, 7),
+    (8, 78, 6), (10, 88, 8), (12, 90, 9), (11, 87, 8), (13, 92, 9), (14, 95, 10), (3, 40, 2), (2, 38, 2), (7, 55, 4), (6, 50, 4),
+]
+
+
+def test_employees(spark):
+    cols = ["years", "score", "grade"]
+    df = spark.createDataFrame([(n, *map(float, r)) for n, r in enumerate(EMPLOYEES)], "id int, years double, score double, grade double")
+    z = prep.apply_standard(df, prep.fit_standard(df, cols), cols).cache()
+    want = {"single": ([9, 2, 1, 1], 0.8629, 1.0811), "complete": ([11, 7, 6, 3], 2.6780, 5.5187), "average": ([11, 6, 3, 2], 1.6413, 3.0698)}
+    for linkage, (cuts, before, last) in want.items():
+        steps = cluster.merges(z, "id", cols, linkage).orderBy("step").collect()
+        assert [len(set(cluster.cut_merges(steps, 20, h))) for h in (0.5, 1.0, 1.5, 2.5)] == cuts
+        assert [round(steps[k]["height"], 4) for k in (0, -2, -1)] == [0.1178, before, last]
+    assert round(cluster.cophenetic(z, "id", cols, cluster.merges(z, "id", cols, "average")), 4) == 0.7576
+
+
+#: Fixed values of the case: age, income, spending.
+SHOPPERS = [
+    (19, 15, 39), (21, 15, 81), (20, 16, 6), (23, 16, 77), (31, 17, 40), (22, 17, 76), (35, 18, 6), (23, 18, 94), (64, 19, 3), (30, 19, 72),
+    (67, 19, 14), (35, 19, 99), (58, 20, 15), (24, 20, 77), (37, 21, 13), (22, 21, 79), (35, 23, 35), (20, 24, 35), (52, 25, 13), (35, 25, 79),
+    (35, 26, 35), (25, 26, 87), (46, 28, 17), (31, 28, 73), (54, 28, 14), (29, 29, 82), (45, 30, 14), (35, 30, 90), (40, 33, 16), (33, 33, 97),
+]
+
+
+def test_shoppers(spark):
+    cols = ["age", "income", "spending"]
+    df = spark.createDataFrame([(n, *map(float, r)) for n, r in enumerate(SHOPPERS)], "id int, age double, income double, spending double")
+    z = prep.apply_standard(df, prep.fit_standard(df, cols), cols).cache()
+    assert round(cluster.kmeans(z, cols, cluster.plus_plus(z, cols, 1))[1][-1], 4) == 90.0
+    model, rows = cluster.kmeans_restarts(z, cols, 3, 4)
+    table = cluster.centre_table(model, rows, cols).collect()
+    assert sorted(r["size"] for r in table) == [6, 12, 12] and round(model.summary.trainingCost, 4) == 32.9415
+    s = evaluate.silhouettes(rows.select("id", F.array(*cols).alias("v"), F.col("prediction").alias("c")), "id", "v", "c")
+    assert round(s.agg(F.avg("silhouette")).first()[0], 4) == 0.3966
+
+
 def test_etl(spark, tmp_path):
     rows = [("1", " a@x ", "2024-01-01", "150.5"), ("1", " a@x ", "2024-01-01", "150.5"), ("2", "b@x", "bad", "100"), ("3", "nobody", "2024-01-02", "5"), ("4", "d@x", None, "-3"), ("5", "e@x", "2024-03-01", "2000"), (None, "f@x", None, "1")]
     raw = spark.createDataFrame(rows, "` Id` string, Email string, `Signup Date` string, Amount string")
@@ -241,6 +280,7 @@ def test_pipeline_and_stream(spark, tmp_path):
     for mode in ("append", "replace", "upsert", "upsert"):
         stats = flow.run("csv", str(folder), "piped", kinds, mode, "id")
         assert {k: stats[k] for k in want} == want and spark.table("piped").count() == 3
+        assert stats["rows_transformed"] == 5 and etl.report(stats).splitlines()[3].split() == ["rows", "loaded", "3"]
     with pytest.raises(ValueError):
         flow.run("xml", str(folder), "piped", kinds)
     spark.sql("ALTER TABLE piped RENAME TO piped__old")  # as if stopped between the renames
