@@ -1,14 +1,16 @@
 """Toxicity by cumulative-link ordinal regression (operator 1).
 
 P(severity > k) = sigmoid(w.x - b_k) for k = 0 .. GRADES-2, with one weight vector w for all ordered thresholds
-b_0 < b_1 < ...; the expected severity is the sum of these. x is sparse: log(1 + count) of marker terms.
+b_0 < b_1 < ...; the expected severity is the sum of these. x is sparse: how many per PER words of a text a marker term
+is, with SMOOTH words added to each text, so that one word of a very short text is not a large share. Counts alone
+would grow with a text's length, and a long clean text would pass for a toxic one.
 
 Fitting (on at most `max_rows` labelled documents, those with the smallest hash of doc_id; a documented bound):
-1. Terms are lower-case words of any length and word beginnings of 4 to 6 letters. Document counts by label are
-   aggregated in Spark; the `max_terms` terms that speak most for the label become markers (ties: the smaller term).
-2. The label is binary. Grade 0 is label 0; a toxic document's grade 1 .. GRADES-1 is the tercile of its number of
-   marker words among the toxic ones.
-3. w and b are fitted by gradient steps on the sample's sparse counts, w held at 0 or above.
+1. Terms are lower-case words of any length and word beginnings of 4 to 7 letters. Their shares in the documents are
+   summed by label in Spark; the `max_terms` terms that speak most for the label become markers (ties: the smaller term).
+2. The label is binary. Grade 0 is label 0; a toxic document's grade 1 .. GRADES-1 is the tercile of its share of
+   markers among the toxic ones.
+3. w and b are fitted by gradient steps on the sample's sparse shares, w held at 0 or above.
 
 Scoring is one pass over the whole text of every document, however long: a text's memory is that of its words, its
 sparse vector has at most `max_terms` entries. A document is toxic if P(severity > 0) >= 0.5.
@@ -36,8 +38,10 @@ from .common import labelled_sample, table
 GRADES = 4
 MAX_ROWS = 8_000
 MAX_TERMS = 1_024
-SHORTEST, LONGEST = 4, 6  # letters of a word beginning
-MIN_DOCUMENTS = 3  # toxic documents that a marker must occur in
+SHORTEST, LONGEST = 4, 7  # letters of a word beginning
+MIN_DOCUMENTS, MIN_PART = 3, 40  # a marker occurs in at least so many toxic documents, and in one of MIN_PART of them
+PER, SMOOTH = 100, 100  # words
+LIFT = 1.5  # log of the ratio of a marker's mean shares, at least
 _WORDS = re.compile(r"\w+")
 
 
@@ -51,21 +55,23 @@ class SeverityModel:
         """The first SHORTEST letters of the terms: a word that begins otherwise has none of them."""
         return frozenset(t[:SHORTEST].removesuffix("$") for t in self.terms)
 
-    def counts(self, text: str, starts: frozenset[str]) -> dict[int, int]:
+    def shares(self, text: str, starts: frozenset[str]) -> dict[int, float]:
+        """Of every marker in the text how many of PER words it is."""
         found: dict[int, int] = {}
-        for word in [w for w in _WORDS.findall(text.lower()) if w[:SHORTEST] in starts]:
+        words = _WORDS.findall(text.lower())
+        for word in [w for w in words if w[:SHORTEST] in starts]:
             for term in terms_of(word):
                 if (i := self.terms.get(term)) is not None:
                     found[i] = found.get(i, 0) + 1
-        return found
+        return {i: PER * c / (len(words) + SMOOTH) for i, c in found.items()}
 
     def score(self, texts: list[str]) -> np.ndarray:
         """(texts, GRADES - 1): P(severity > k)."""
         starts = self.starts()
         eta = np.zeros(len(texts))
         for n, text in enumerate(texts):
-            if found := self.counts(text, starts):
-                eta[n] = sum(self.weights[i] * math.log1p(c) for i, c in found.items())
+            if found := self.shares(text, starts):
+                eta[n] = sum(self.weights[i] * x for i, x in found.items())
         return 1 / (1 + np.exp(-np.clip(eta[:, None] - self.bounds, -40, 40)))
 
 
@@ -74,25 +80,35 @@ def terms_of(word: str) -> set[str]:
     return {f"{word}$", *(word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1))}
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _term_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each term its summed shares by label and the toxic documents that have it."""
     for b in batches:
-        count: tuple[Counter, Counter] = (Counter(), Counter())
+        shares: tuple[dict, dict] = ({}, {})
+        documents: Counter = Counter()
         for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            words = set(_WORDS.findall(text.lower()))
-            count[label > 0].update(set().union(*map(terms_of, words)) if words else ())
-        terms = list({*count[0], *count[1]})
+            words = Counter(_WORDS.findall(text.lower()))
+            own: Counter = Counter()
+            for word, c in words.items():
+                for term in terms_of(word):
+                    own[term] += c
+            n, into = words.total() + SMOOTH, shares[label > 0]
+            for term, c in own.items():
+                into[term] = into.get(term, 0.0) + PER * c / n
+            if label > 0:
+                documents.update(own.keys())
+        terms = list({*shares[0], *shares[1]})
         yield pa.RecordBatch.from_arrays(
-            [pa.array(terms, pa.string()), pa.array([count[1][t] for t in terms], pa.int64()), pa.array([count[0][t] for t in terms], pa.int64())],
-            ["term", "toxic", "clean"],
+            [pa.array(terms, pa.string()), *(pa.array([shares[y].get(t, 0.0) for t in terms], pa.float64()) for y in (1, 0)), pa.array([documents[t] for t in terms], pa.int64())],
+            ["term", "toxic", "clean", "documents"],
         )
 
 
-def fit_bounds_and_weights(rows: list[dict[int, int]], grades: np.ndarray, n_terms: int, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_bounds_and_weights(rows: list[dict[int, float]], grades: np.ndarray, n_terms: int, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Adam on the mean negative log-likelihood of the cumulative-link model with a small L2 penalty."""
     x = np.zeros((len(rows), n_terms), dtype=np.float32)
     for n, row in enumerate(rows):
-        for i, c in row.items():
-            x[n, i] = math.log1p(c)
+        for i, share in row.items():
+            x[n, i] = share
     k = GRADES - 1
     # b_0 and the logs of the gaps between bounds, so that the bounds stay ordered.
     theta = np.concatenate([np.full(n_terms, 0.5), [2.0], np.zeros(k - 1)])
@@ -128,15 +144,16 @@ def fit_severity(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_RO
     if not toxic:
         return none
     clean = rows - toxic
-    counts = sample.select("text", "label").mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
+    shares = sample.select("text", "label").mapInArrow(_term_shares, "term string, toxic double, clean double, documents long").groupBy("term").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("documents").alias("documents")
     )
-    lift = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
+    # Sums of floats may differ in their last digits with the order of rows; rounded, the choice does not.
+    mean = [F.round((F.col(c) + PER / SMOOTH) / (n + 1.0), 9) for c, n in (("toxic", toxic), ("clean", clean))]
     chosen = (
-        counts.where(F.col("toxic") >= MIN_DOCUMENTS)
-        .withColumn("lift", lift)
-        .where("lift > 1.5")
-        .orderBy(F.desc(F.col("lift") * F.sqrt("toxic")), "term")
+        shares.where(F.col("documents") >= max(MIN_DOCUMENTS, -(-toxic // MIN_PART)))
+        .withColumn("lift", F.log(mean[0] / mean[1]))
+        .where(F.col("lift") > LIFT)
+        .orderBy(F.desc(F.round(F.col("lift") * F.sqrt("toxic"), 6)), "term")
         .limit(max_terms)
     )
     terms = {r["term"]: i for i, r in enumerate(chosen.select("term").collect())}
@@ -144,15 +161,15 @@ def fit_severity(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_RO
         return none
     draft = SeverityModel(terms, np.zeros(len(terms)), none.bounds)
 
-    def count(texts: pd.Series) -> pd.Series:
+    def share(texts: pd.Series) -> pd.Series:
         starts = draft.starts()
-        return texts.map(lambda t: [x for kv in draft.counts(t, starts).items() for x in kv])
+        return texts.map(lambda t: [float(x) for kv in draft.shares(t, starts).items() for x in kv])
 
-    counted = F.pandas_udf(count, "array<int>")
-    # At most max_rows rows of marker counts reach the driver; their order is fixed, so the sums are.
-    got = sample.select("doc_id", "text_hash", counted("text").alias("c"), "label").collect()
+    shared = F.pandas_udf(share, "array<double>")
+    # At most max_rows rows of marker shares reach the driver; their order is fixed, so the sums are.
+    got = sample.select("doc_id", "text_hash", shared("text").alias("c"), "label").collect()
     got.sort(key=lambda r: (r["doc_id"], r["text_hash"]))
-    x = [dict(zip(r["c"][::2], r["c"][1::2])) for r in got]
+    x = [{int(i): v for i, v in zip(r["c"][::2], r["c"][1::2])} for r in got]
     label = np.array([r["label"] > 0 for r in got])
     mass = np.array([sum(r.values()) for r in x])
     cuts = np.quantile(mass[label], np.arange(1, GRADES - 1) / (GRADES - 1))

@@ -44,10 +44,11 @@ def test_severity_by_brute_force(spark):
     rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, score string")
     for r in toxicity.severity(rows, model).collect():
         found: dict = defaultdict(int)
-        for word in re.findall(r"\w+", (texts[r["doc_id"]] or "").lower()):
+        words = re.findall(r"\w+", (texts[r["doc_id"]] or "").lower())
+        for word in words:
             for term, i in terms.items():
                 found[i] += word == term[:-1] if term[-1] == "$" else word.startswith(term)
-        eta = sum(model.weights[i] * math.log(1 + c) for i, c in found.items())
+        eta = sum(model.weights[i] * 100 * c / (len(words) + 100) for i, c in found.items())
         above = [1 / (1 + math.exp(-(eta - b))) for b in model.bounds]
         assert (r["score"], r["expected_severity"]) == (pytest.approx(above[0]), pytest.approx(sum(above)))
         assert (r["severity"], r["toxic"]) == (sum(p >= 0.5 for p in above), int(above[0] >= 0.5))
@@ -55,14 +56,14 @@ def test_severity_by_brute_force(spark):
 
 def test_cumulative_link_fit():
     rng = np.random.default_rng(2)
-    x = [{0: int(a), 1: int(b)} for a, b in rng.integers(0, 6, (300, 2))]
-    eta = np.array([1.5 * math.log1p(r[0]) + 0.5 * math.log1p(r[1]) for r in x]) + rng.logistic(0, 0.5, 300)
+    x = [{0: float(a), 1: float(b)} for a, b in rng.uniform(0, 2, (300, 2))]
+    eta = np.array([1.5 * r[0] + 0.5 * r[1] for r in x]) + rng.logistic(0, 0.5, 300)
     grades = np.searchsorted([1.0, 2.0, 3.0], eta)
 
     def loss(w, b):
         total = 0.0
         for row, y in zip(x, grades):
-            e = sum(w[i] * math.log1p(c) for i, c in row.items())
+            e = sum(w[i] * share for i, share in row.items())
             above = [1.0, *(1 / (1 + math.exp(-(e - k))) for k in b), 0.0]
             total -= math.log(max(1e-9, above[y] - above[y + 1]))
         return total
@@ -85,7 +86,7 @@ def test_toxicity_on_rows_not_fitted(spark):
     rest = docs.join(labels.select("doc_id", common.F.col("toxic").alias("y")), "doc_id")
     got = toxicity.severity(rest, model).join(labels.select("doc_id", common.F.col("toxic").alias("y")), "doc_id").select("doc_id", "toxic", "y").toPandas()
     got = got[~got.doc_id.isin(used)]
-    assert len(got) > 2_000 and got.toxic[got.y == 1].mean() >= 0.85 and got.toxic[got.y == 0].mean() <= 0.02  # measured: 0.902, 0.016
+    assert len(got) > 2_000 and got.toxic[got.y == 1].mean() >= 0.95 and got.toxic[got.y == 0].mean() <= 0.01  # measured: 0.957, 0.007
 
 
 def slow_columns(text):
