@@ -34,13 +34,10 @@ from .common import byte_slices, table
 
 SHARE = 0.6
 
-_TAG = re.compile(
-    r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<end2>/?)(?P<name2>[a-z][a-z0-9:-]*)(?P<more2>[^>]*)>",
-    re.IGNORECASE | re.DOTALL,
-)
+_NAME = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.IGNORECASE)
+_SPAN = re.compile(r"[^>\"']*+")  # within a tag up to a quote or its end
+#: Elements whose content is no markup.
+RAW = frozenset("script style noscript template textarea title iframe".split())
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,8 +47,10 @@ BLOCK = frozenset(
 )
 #: Block elements whose start ends an open paragraph.
 ENDS_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption".split())
+#: Not one of a paragraph around these.
+P_WITHIN = frozenset("article section div td th li button".split())
 #: Elements that end an open one of the same kind, up to the given container.
-SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+SIBLINGS = {k: frozenset(v.split()) for k, v in {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table"}.items()}
 NEVER = frozenset("nav footer aside menu dialog button label head audio video canvas svg math object select datalist".split())
 #: Elements of another language in a page: a slash at the end of their tag closes them.
 FOREIGN = frozenset(("svg", "math"))
@@ -68,6 +67,67 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEEP = frozenset("html body article main".split())
 
 
+class _Finder:
+    """str.find that remembers once a string does not occur further on: a page is scanned once for each, however often
+    it is looked for in vain."""
+
+    def __init__(self, source: str):
+        self.source, self.none = source, set()
+
+    def __call__(self, what: str, at: int) -> int:
+        if what in self.none:
+            return -1
+        found = self.source.find(what, at)
+        if found < 0:
+            self.none.add(what)
+        return found
+
+
+def tags(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of the tags in a page, in order, in time linear in its length. Comments,
+    declarations, marked sections and elements whose content is no markup (RAW, with that content) have no name.
+    Quotes in a tag hide >; where a quote does not end, the tag ends at its first >. A < that opens nothing is text."""
+    find, at = _Finder(source), 0
+    while (at := source.find("<", at)) >= 0:
+        if source.startswith("<!--", at):
+            end = find("-->", at + 4)
+            end = len(source) if end < 0 else end + 3
+            yield at, end, False, "", ""
+        elif source.startswith("<![CDATA[", at) and (end := find("]]>", at + 9)) >= 0:
+            yield at, (end := end + 3), False, "", ""
+        elif source[at + 1 : at + 2] in ("!", "?"):
+            if (end := find(">", at)) < 0:
+                return
+            yield at, (end := end + 1), False, "", ""
+        elif m := _NAME.match(source, at):
+            first = find(">", m.end())
+            if first < 0:
+                return  # no tag ends from here on
+            end = _SPAN.match(source, m.end()).end()
+            while end < len(source) and source[end] != ">":
+                close = find(source[end], end + 1)
+                if close < 0:
+                    break
+                end = _SPAN.match(source, close + 1).end()
+            if end >= len(source) or source[end] != ">":
+                end = first
+            name, more = m[2].lower(), source[m.end() : end]
+            end += 1
+            if name in RAW and not m[1]:
+                end = _raw_end(source, name, end)
+                name = ""
+            yield at, end, bool(m[1]), name, more
+        else:
+            end = at + 1
+        at = end
+
+
+def _raw_end(source: str, name: str, at: int) -> int:
+    """Where the element's own closing tag ends, or the page: all behind an element that never closes is its content."""
+    m = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(source, at)
+    return m.end() if m else len(source)
+
+
 class Page:
     """The tree of a page: parallel lists over its nodes in page order, and the runs of text with their node."""
 
@@ -75,55 +135,52 @@ class Page:
         self.tag, self.parent, self.out, self.named = ["#page"], [-1], [False], [""]
         self.runs: list[tuple[int, int, str]] = []  # node, block number, text
         stack, block, at = [0], 0, 0
+        depths: dict[str, list[int]] = {}  # where in the stack the open elements of a kind are
+
+        def close(name: str, within: frozenset[str] = frozenset()) -> None:
+            """Ends the innermost open element of the kind, with all inside it, unless one of `within` is inside it too."""
+            if not depths.get(name):
+                return
+            k = depths[name][-1]
+            if any(depths.get(w) and depths[w][-1] > k for w in within):
+                return
+            while len(stack) > k:
+                depths[self.tag[stack.pop()]].pop()
 
         def text(piece: str) -> None:
             if piece:
                 self.runs.append((stack[-1], block, entities.unescape(piece) if "&" in piece else piece))
 
-        for m in _TAG.finditer(source):
-            text(source[at : m.start()])
-            at = m.end()
-            name = m["name"] or m["name2"]
+        for begin, at_next, closing, name, more in tags(source):
+            text(source[at:begin])
+            at = at_next
             if not name:
                 continue
-            name, closing = name.lower(), m["end"] or m["end2"]
             if name == "br":
                 self.runs.append((stack[-1], block, "\n"))
                 continue
             if name in BLOCK:
                 block += 1
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        del stack[k:]
-                        break
+                close(name)
                 continue
             if name in VOID:
                 continue
-            more = m["more"] or m["more2"] or ""
             if name in FOREIGN and more.endswith("/"):
                 continue
             if name in ENDS_P:
-                self._end(stack, "p", {"article", "section", "div", "td", "th", "li", "button"})
+                close("p", P_WITHIN)
             if name in SIBLINGS:
-                self._end(stack, name, SIBLINGS[name])
+                close(name, SIBLINGS[name])
             self.tag.append(name)
             self.parent.append(stack[-1])
             out, named = self._verdict(name, more)
             self.out.append(out)
             self.named.append(named)
+            depths.setdefault(name, []).append(len(stack))
             stack.append(len(self.tag) - 1)
         text(source[at:])
 
-    def _end(self, stack: list[int], name: str, within: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag == name:
-                del stack[k:]
-                return
-            if tag in within:
-                return
-
     @staticmethod
     def _verdict(name: str, attributes: str) -> tuple[bool, str]:
         """Out by its kind; what it is suspected of: nothing (""), "comments" or "other"."""
