@@ -48,7 +48,8 @@ def ranked(df: DataFrame, key: str, within: list[str] | None = None, name: str =
 def running_totals(df: DataFrame, order: list[str], value: str, name: str, by: list[str] | None = None) -> DataFrame:
     """df with the sum of `value` over the rows before each, in an order without ties, within groups. Rows are dealt into
     ranges of the order and cut there; windows run within ranges, and the sums of whole ranges, as many as there are
-    shuffle partitions for each group, are added up apart and broadcast. No task sees a whole group."""
+    shuffle partitions for each group, are added up apart: broadcast without groups, else joined by their keys. No task
+    sees a whole group."""
     by = by or []
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(df.repartitionByRange(parts, *by, *order).withColumn("range_", F.spark_partition_id()))
@@ -62,7 +63,23 @@ def running_totals(df: DataFrame, order: list[str], value: str, name: str, by: l
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"{c}_g_"))
     inner = F.coalesce(F.sum(value).over(before(*by, "range_", of=order)), F.lit(0))
-    return ranged.withColumn("own_", inner).join(F.broadcast(bases), on).select(*df.columns, (F.col("base_") + F.col("own_")).alias(name))
+    return ranged.withColumn("own_", inner).join(bases if by else F.broadcast(bases), on).select(*df.columns, (F.col("base_") + F.col("own_")).alias(name))
+
+
+def running_counts(df: DataFrame, order: str, values: list[str], by: list[str]) -> DataFrame:
+    """df, with (by, order) once each, and for every value column c the sum bc over the rows before it in its group,
+    and next_, the group's next order value. As running_totals: windows run within ranges, and what crosses from one
+    range to the next is a row per group and range, joined by its keys."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, *by, order).withColumn("range_", F.spark_partition_id()))
+    sums = ranged.groupBy(*by, "range_").agg(F.min(order).alias("least_"), *(F.sum(c).alias(f"s{c}") for c in values))
+    line = Window.partitionBy(*by).orderBy("range_")
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(*by, "range_", F.lead("least_").over(line).alias("after_"), *(F.coalesce(F.sum(f"s{c}").over(before), F.lit(0.0)).alias(f"a{c}") for c in values))
+    inner = Window.partitionBy(*by, "range_").orderBy(order)
+    own = inner.rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.select("*", F.lead(order).over(inner).alias("near_"), *(F.coalesce(F.sum(c).over(own), F.lit(0.0)).alias(f"o{c}") for c in values))
+    return placed.join(bases, [*by, "range_"]).select(*df.columns, F.coalesce("near_", "after_").alias("next_"), *((F.col(f"a{c}") + F.col(f"o{c}")).alias(f"b{c}") for c in values))
 
 
 def order_statistics(df: DataFrame, columns: list[str], shares: list[float], by: list[str] | None = None) -> DataFrame:
@@ -78,7 +95,7 @@ def order_statistics(df: DataFrame, columns: list[str], shares: list[float], by:
     on = F.lit(True)
     for c in [*by, "column"]:
         on = on & F.col(c).eqNullSafe(F.col(f"{c}_t_"))
-    rows = placed.join(F.broadcast(totals), on)  # a row per group and column
+    rows = placed.join(totals if by else F.broadcast(totals), on)  # a row per group and column
     picks, out = [], []
     for k, share in enumerate(shares):
         at = (F.col("all_") - 1) * F.lit(float(share))
