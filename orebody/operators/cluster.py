@@ -121,37 +121,121 @@ def gaussian_mixture(df: DataFrame, columns: list[str], k: int = 3, seed: int =
     return model, model.transform(rows), ll, -2 * ll + p * math.log(n), -2 * ll + 2 * p
 
 
+FINE = 20  # halvings of a cell that a place within it is known to
+HALVINGS = 3  # of boxes in one round
+FEW_PAIRS = 4_096  # points of one box times those of another: so many pairs are compared
+
+
 def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, min_samples: int) -> DataFrame:
     """(key, cluster): -1 is noise; clusters are numbered by their smallest core key; a border point goes to the
-    lowest cluster within reach. Neighbours are found by an equi-join on grid cells of side eps over the first (at
-    most three) columns; core points are joined by passing on the smallest key until nothing changes."""
+    lowest cluster within reach. Points with a null coordinate are noise.
+
+    The first (at most three) columns are cut into cells whose diagonal is eps. With at most three columns all points of
+    a cell of min_samples points are core by that count, and all core points of a cell are of one cluster: neighbours
+    are counted for points of thin cells alone, and clusters are components of cells. Two cells link if some of
+    their core points are within eps: their bounding boxes decide where the farthest corners are (linked) or the nearest sides
+    are not (apart); the rest is cut into smaller boxes, and points are compared where few are left. So a crowded cell costs
+    no pairs. With more columns a cell says nothing of the distance, and points are compared with those of cells around."""
     grid = columns[:3]
-    cells = df.select(F.col(key).alias("id_"), *columns, *(F.floor(F.col(c) / eps).alias(f"g{k}_") for k, c in enumerate(grid)))
-    around = cells
-    for k in range(len(grid)):
-        around = around.withColumn(f"g{k}_", F.explode(F.array(*(F.col(f"g{k}_") + o for o in (-1, 0, 1)))))
-    around = around.select(F.col("id_").alias("jd_"), *(F.col(c).alias(f"{c}_j") for c in columns), *(f"g{k}_" for k in range(len(grid))))
-    near = cells.join(around, [f"g{k}_" for k in range(len(grid))])
-    dist = F.sqrt(sum(((F.col(c) - F.col(f"{c}_j")) ** 2 for c in columns), F.lit(0.0)))
-    links = cut(near.where(dist <= eps).select("id_", "jd_"))
-    core = cut(links.groupBy("id_").agg(F.count("*").alias("n_")).where(F.col("n_") >= min_samples).select("id_"))
-    edges = links.join(core, "id_", "left_semi").join(core.select(F.col("id_").alias("jd_")), "jd_", "left_semi")
-    label = core.select("id_", F.col("id_").alias("c_"))
+    whole, d = len(columns) == len(grid), len(grid)
+    side = eps / math.sqrt(d) * (1 - 1e-9)
+    reach = math.floor(1 + eps / side)
+    places = [F.floor(F.col(c) / (side / 2**FINE)).alias(f"f{k}_") for k, c in enumerate(grid)]
+    points = df.select(F.col(key).alias("id_"), *(F.col(c).cast("double").alias(c) for c in columns)).where(" and ".join(f"`{c}` is not null" for c in columns))
+    points = cut(points.select("*", *places).select("*", *(F.shiftright(f"f{k}_", FINE).alias(f"g{k}_") for k in range(d))))
+    cell = [f"g{k}_" for k in range(d)]
+
+    def around(rows: DataFrame) -> DataFrame:
+        for c in cell:
+            rows = rows.withColumn(c, F.explode(F.array(*(F.col(c) + o for o in range(-reach, reach + 1)))))
+        return rows
+
+    def near(rows: DataFrame, others: DataFrame) -> DataFrame:
+        """Rows with those of others in cells around, within eps; others' columns end in j_."""
+        others = others.select(*(F.col(c).alias(c if c in cell else f"{c}j_") for c in others.columns))
+        dist = F.sqrt(sum(((F.col(c) - F.col(f"{c}j_")) ** 2 for c in columns), F.lit(0.0)))
+        return around(rows).join(others, cell).where(dist <= eps)
+
+    sizes = points.groupBy(*cell).agg(F.count("*").alias("in_cell_"))
+    sized = points.join(sizes, cell)
+    thin = cut(sized.where(F.col("in_cell_") < min_samples if whole else F.lit(True)).drop("in_cell_"))
+    full = sized.where(F.col("in_cell_") >= min_samples if whole else F.lit(False)).drop("in_cell_")
+    enough = near(thin.select("id_", *columns, *cell), points.select(*columns, *cell)).groupBy("id_").agg(F.count("*").alias("n_")).where(F.col("n_") >= min_samples)
+    core = cut(full.unionByName(thin.join(enough.select("id_"), "id_", "left_semi")))
+    if whole:
+        named = core.groupBy(*cell).agg(F.min("id_").alias("node_"))
+        core = cut(core.join(named, cell))
+        edges = _linked_cells(core, columns, cell, reach, eps)
+    else:
+        core = core.withColumn("node_", F.col("id_"))
+        edges = near(core.select("node_", *columns, *cell), core.select("node_", *columns, *cell)).where("node_ < node_j_").select(F.col("node_").alias("a"), F.col("node_j_").alias("b"))
+    label = _least_reached(core.select("node_").distinct(), cut(edges))
+    order = label.select("c_").distinct().select("c_", (F.row_number().over(_line("c_")) - 1).alias("cluster_"))  # a row per cluster
+    placed = cut(core.join(label, "node_").join(order, "c_"))
+    lone = thin.join(core.select("id_"), "id_", "left_anti")
+    border = near(lone.select("id_", *columns, *cell), placed.select(*columns, *cell, "cluster_")).groupBy("id_").agg(F.min("cluster_j_").alias("b_"))
+    out = df.select(F.col(key).alias("id_")).join(placed.select("id_", "cluster_"), "id_", "left").join(border, "id_", "left")
+    return out.select(F.col("id_").alias(key), F.coalesce("cluster_", "b_", F.lit(-1)).cast("int").alias("cluster"))
+
+
+def _linked_cells(core: DataFrame, columns: list[str], cell: list[str], reach: int, eps: float) -> DataFrame:
+    """(a, b): cells, by their nodes, with core points within eps of each other."""
+    d = len(cell)
+
+    def boxes(level: int, side: str) -> DataFrame:
+        """(node, box, parent box, least and largest of each column, points); names end in side."""
+        own, up = ([F.shiftright(f"f{k}_", FINE - max(0, at)).alias(f"{n}{k}") for k in range(d)] for n, at in (("s", level), ("p", level - HALVINGS)))
+        names = [f"s{k}" for k in range(d)] + [f"p{k}" for k in range(d)]
+        made = core.select("node_", *own, *up, *columns).groupBy("node_", *names).agg(
+            *(F.min(c).alias(f"lo{k}") for k, c in enumerate(columns)), *(F.max(c).alias(f"hi{k}") for k, c in enumerate(columns)), F.count("*").alias("n")
+        )
+        return made.select(*(F.col(c).alias(f"{c}{side}") for c in made.columns))
+
+    gaps = [F.greatest(F.lit(0.0), F.col(f"lo{k}_b") - F.col(f"hi{k}_a"), F.col(f"lo{k}_a") - F.col(f"hi{k}_b")) for k in range(d)]
+    spans = [F.greatest(F.col(f"hi{k}_b") - F.col(f"lo{k}_a"), F.col(f"hi{k}_a") - F.col(f"lo{k}_b")) for k in range(d)]
+    length = lambda parts: F.sqrt(sum((p**2 for p in parts), F.lit(0.0)))
+    # Where both boxes are points, nearest and farthest are the distance itself.
+    single = " and ".join(f"lo{k}_{s} = hi{k}_{s}" for k in range(d) for s in "ab")
+    least, most = length(gaps), length(spans)
+    verdict = F.when(F.expr(single), least <= eps).when(most <= eps * (1 - 1e-12), True).when(least > eps * (1 + 1e-12), False)
+
+    one, two = boxes(0, "_a"), boxes(0, "_b")
+    for k in range(d):
+        one = one.withColumn(f"o{k}", F.explode(F.array(*(F.col(f"s{k}_a") + o for o in range(-reach, reach + 1)))))
+    pairs = one.join(two, [F.col(f"o{k}") == F.col(f"s{k}_b") for k in range(d)]).where("node__a < node__b")
+    linked, level = None, 0
+    while True:
+        judged = cut(pairs.withColumn("linked", verdict))
+        found = judged.where("linked").select(F.col("node__a").alias("a"), F.col("node__b").alias("b"))
+        open_ = judged.where("linked is null").join(found, (F.col("node__a") == F.col("a")) & (F.col("node__b") == F.col("b")), "left_anti")
+        few = F.lit(True) if level + HALVINGS > FINE else F.col("n_a") * F.col("n_b") <= FEW_PAIRS
+        spots = core.select("node_", *columns, *(F.shiftright(f"f{k}_", FINE - level).alias(f"s{k}") for k in range(d)))
+        x, y = (spots.select(*(F.col(c).alias(f"{c}{s}") for c in spots.columns)) for s in ("_a", "_b"))
+        close = open_.where(few).select("node__a", "node__b", *(f"s{k}_{s}" for k in range(d) for s in "ab"))
+        close = close.join(x, ["node__a", *(f"s{k}_a" for k in range(d))]).join(y, ["node__b", *(f"s{k}_b" for k in range(d))])
+        close = close.where(length([F.col(f"{c}_a") - F.col(f"{c}_b") for c in columns]) <= eps).select(F.col("node__a").alias("a"), F.col("node__b").alias("b"))
+        found = cut(found.unionByName(close).distinct())
+        linked = found if linked is None else linked.unionByName(found)
+        open_ = cut(open_.where(~few).join(found, (F.col("node__a") == F.col("a")) & (F.col("node__b") == F.col("b")), "left_anti"))
+        if open_.isEmpty():
+            return linked.distinct()
+        level += HALVINGS
+        held = open_.select("node__a", "node__b", *(F.col(f"s{k}_{s}").alias(f"p{k}_{s}") for k in range(d) for s in "ab"))
+        pairs = held.join(boxes(level, "_a"), ["node__a", *(f"p{k}_a" for k in range(d))]).join(boxes(level, "_b"), ["node__b", *(f"p{k}_b" for k in range(d))])
+
+
+def _least_reached(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_, c_): the smallest node that each one reaches. Labels are nodes: jumping to a label's label halves the way."""
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).union(nodes.select(F.col("node_").alias("a"), F.col("node_").alias("b"))))
+    label = cut(nodes.select("node_", F.col("node_").alias("c_")))
     while True:
-        seen = edges.join(label.select(F.col("id_").alias("jd_"), "c_"), "jd_").groupBy("id_").agg(F.min("c_").alias("c_"))
-        # A label is itself a point: jumping to that point's label halves the way.
-        jumped = seen.join(seen.select(F.col("id_").alias("c_"), F.col("c_").alias("cc_")), "c_", "left").select("id_", F.least("c_", F.coalesce("cc_", "c_")).alias("c_"))
+        seen = both.join(label.select(F.col("node_").alias("b"), "c_"), "b").groupBy(F.col("a").alias("node_")).agg(F.min("c_").alias("c_"))
+        jumped = seen.join(seen.select(F.col("node_").alias("c_"), F.col("c_").alias("cc_")), "c_", "left").select("node_", F.least("c_", F.coalesce("cc_", "c_")).alias("c_"))
         new = cut(jumped)
-        moved = new.join(label.select("id_", F.col("c_").alias("old_")), "id_").where("c_ <> old_").limit(1).count()
+        moved = new.join(label.select("node_", F.col("c_").alias("old_")), "node_").where("c_ <> old_").limit(1).count()
         label = new
         if not moved:
-            break
-    names = label.select("c_").distinct()
-    order = names.select("c_", (F.row_number().over(_line("c_")) - 1).alias("cluster_"))  # a row per cluster
-    placed = label.join(order, "c_").select("id_", "cluster_")
-    border = links.join(placed.select(F.col("id_").alias("jd_"), "cluster_"), "jd_").groupBy("id_").agg(F.min("cluster_").alias("b_"))
-    out = df.select(F.col(key).alias("id_")).join(placed, "id_", "left").join(border, "id_", "left")
-    return out.select(F.col("id_").alias(key), F.coalesce("cluster_", "b_", F.lit(-1)).cast("int").alias("cluster"))
+            return label
 
 
 def _line(column: str):
