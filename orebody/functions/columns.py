@@ -68,12 +68,17 @@ def heat_index(t: Column, rh: Column) -> Column:
 
 def dew_point(t: Column, rh: Column) -> Column:
     """Magnus formula; humidity is held within [0.01, 100]."""
-    a, b = 17.625, 243.04
+    a, b = 17.625, 243.04  # fixed values of the formula
     g = F.log(clip(rh, 0.01, 100.0) / 100) + a * t / (b + t)
     return b * g / (a - g)
 
 
+def kmh(metres_a_second: Column) -> Column:
+    return metres_a_second * 3.6
+
+
 def wind_chill(t: Column, kmh: Column) -> Column:
+    # Fixed values of the published formula.
     v = F.pow(kmh, 0.16)
     return F.when((t <= 10) & (kmh >= 4.8), 13.12 + 0.6215 * t - 11.37 * v + 0.3965 * t * v).otherwise(t)
 

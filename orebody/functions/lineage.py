@@ -7,6 +7,11 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """A result of one row, or of a row per column, computed now and not again at each use."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint() into spark.checkpoint.dir; where none is set and all runs on this machine (tests) a folder of our own
     is: other machines would not see it."""

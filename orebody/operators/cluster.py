@@ -55,6 +55,13 @@ def kmeans(df: DataFrame, columns: list[str], centres: list[list[float]], max_it
     return centres, trace
 
 
+def wcss_changes(spark, trace: list[float]) -> DataFrame:
+    """(iteration, wcss, change, drop_pct) of the WCSS of every round: what it fell by since the round before."""
+    rows = spark.createDataFrame([(n, float(w)) for n, w in enumerate(trace, 1)], "iteration int, wcss double")
+    before = F.lag("wcss").over(_line("iteration"))  # a row per round
+    return rows.select("iteration", "wcss", (before - F.col("wcss")).alias("change"), (100 * F.try_divide(before - F.col("wcss"), before)).alias("drop_pct"))
+
+
 def kmeans_restarts(df: DataFrame, columns: list[str], k: int, restarts: int = 10):
     """MLlib k-means over several seeds; the model of least cost."""
     from pyspark.ml.clustering import KMeans

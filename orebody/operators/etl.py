@@ -15,6 +15,7 @@ from ..functions.columns import cast_lenient, right_closed, strip, whole_days
 
 log = logging.getLogger(__name__)
 
+# Fixed values of the amount buckets.
 AMOUNT_EDGES = (0.0, 100.0, 500.0, 1000.0, float("inf"))
 AMOUNT_LABELS = ("low", "medium", "high", "premium")
 
@@ -65,10 +66,11 @@ def validate(df: DataFrame, email: str = "email", amount: str = "amount") -> Dat
     return df.withColumn("is_valid", ok)
 
 
-def transform(df: DataFrame, kinds: dict[str, str], required: list[str], now: Column | None = None) -> DataFrame:
+def transform(df: DataFrame, kinds: dict[str, str], required: list[str], now: Column | None = None, cleaned: Observation | None = None) -> DataFrame:
+    """cleaned: counts, as `rows`, what is left after cleaning."""
+    tidy = df.transform(normalize).transform(clean, required)
     return (
-        df.transform(normalize)
-        .transform(clean, required)
+        (tidy.observe(cleaned, F.count("*").alias("rows")) if cleaned else tidy)
         .transform(cast_types, kinds)
         .transform(derive, now)
         .transform(validate)
@@ -152,12 +154,12 @@ class Pipeline:
         began = time.monotonic()
         raw = self.readers[kind](self.spark, source, query) if kind == "db" else self.readers[kind](self.spark, source)
         # Counted while the rows are loaded: the source is read once, but for an upsert's own count and join.
-        seen, judged = Observation(), Observation()
-        rows = transform(raw.observe(seen, F.count("*").alias("rows")), kinds, self.required)
+        seen, tidy, judged = Observation(), Observation(), Observation()
+        rows = transform(raw.observe(seen, F.count("*").alias("rows")), kinds, self.required, cleaned=tidy)
         rows = rows.observe(judged, F.count("*").alias("rows"), F.count_if(~F.col("is_valid")).alias("rejected"))
         loaded = load(rows.where("is_valid"), target, mode, key)
         stats = {
-            "rows_extracted": seen.get["rows"], "rows_transformed": judged.get["rows"], "rows_rejected": judged.get["rejected"],
+            "rows_extracted": seen.get["rows"], "rows_cleaned": tidy.get["rows"], "rows_transformed": judged.get["rows"], "rows_rejected": judged.get["rejected"],
             "rows_loaded": loaded, "duration_sec": round(time.monotonic() - began, 3),
         }
         for line in report(stats).splitlines():

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip
+from ..functions.lineage import settle
 from ..functions.ordering import order_statistics, running_totals
 
 
@@ -142,7 +143,7 @@ def fit_iqr(df: DataFrame, columns: list[str], factor: float = 1.5, by: list[str
 
 def outlier_report(df: DataFrame, columns: list[str], domain: dict[str, tuple[float, float]], factor: float = 1.5) -> DataFrame:
     """(column, low, high, n_iqr, n_domain, n_z): outside the IQR bounds, outside the domain, over 3 deviations."""
-    params = fit_iqr(df, columns, factor).crossJoin(fit_standard(df, columns))
+    params = settle(fit_iqr(df, columns, factor).crossJoin(fit_standard(df, columns)))
     wide = _with(df, params).agg(
         *(F.first(p).alias(p) for p in params.columns),
         *(F.count_if((F.col(c) < F.col(f"{c}_low")) | (F.col(c) > F.col(f"{c}_high"))).alias(f"{c}_n_iqr") for c in columns),
@@ -156,6 +157,15 @@ def outlier_report(df: DataFrame, columns: list[str], domain: dict[str, tuple[fl
     return wide.select(F.inline(F.array(*rows)))
 
 
+def readiness(df: DataFrame, value: str, time: str, kind: str) -> DataFrame:
+    """One row: rows, nulls of the value and their percentage, first and last time, kinds."""
+    null = F.count_if(F.col(value).isNull())
+    return df.agg(
+        F.count("*").alias("n_rows"), null.alias("n_null"), F.round(F.try_divide(100.0 * null, F.count("*")), 4).alias("pct_null"),
+        F.min(time).alias("first_ts"), F.max(time).alias("last_ts"), F.count_distinct(kind).alias("n_types"),
+    )
+
+
 def inject_nulls(df: DataFrame, column: str, key: str, every: int, rest: int = 0) -> DataFrame:
     """Null where key mod every = rest."""
     return df.withColumn(column, F.when(F.pmod(F.col(key), F.lit(every)) == rest, None).otherwise(F.col(column)))

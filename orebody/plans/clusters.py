@@ -35,15 +35,28 @@ def kmeans_three_rounds(spark, sf_dir):
     return cluster.assign(s, ["x", "y"], centres).select("id", "cluster", F.round("d2", 6).alias("d2"))
 
 
-@query(f"{_LLOYD} SELECT 1 AS iteration, round(sum(d), 6) AS wcss FROM a1 UNION ALL SELECT 2, round(sum(d), 6) FROM a2 UNION ALL SELECT 3, round(sum(d), 6) FROM a3")
-def wcss_trace(spark, sf_dir):
+def _three_rounds(spark, sf_dir) -> list[float]:
     s, centres, trace = _suppliers(spark, sf_dir), _START, []
     for _ in range(3):
         centres, wcss, _ = cluster.update(cluster.assign(s, ["x", "y"], centres), ["x", "y"], centres)
         trace.append(wcss)
+    return trace
+
+
+@query(f"{_LLOYD} SELECT 1 AS iteration, round(sum(d), 6) AS wcss FROM a1 UNION ALL SELECT 2, round(sum(d), 6) FROM a2 UNION ALL SELECT 3, round(sum(d), 6) FROM a3")
+def wcss_trace(spark, sf_dir):
+    trace = _three_rounds(spark, sf_dir)
     return spark.createDataFrame([(n, round(float(w), 6)) for n, w in enumerate(trace, 1)], "iteration int, wcss double")
 
 
+@query(f"""{_LLOYD}, t AS (SELECT 1 AS iteration, sum(d) AS wcss FROM a1 UNION ALL SELECT 2, sum(d) FROM a2 UNION ALL SELECT 3, sum(d) FROM a3)
+SELECT iteration, round(wcss, 6) AS wcss, round(lag(wcss) OVER (ORDER BY iteration) - wcss, 6) AS change, round(100 * (lag(wcss) OVER (ORDER BY iteration) - wcss) / lag(wcss) OVER (ORDER BY iteration), 6) AS drop_pct FROM t""")
+def wcss_changes(spark, sf_dir):
+    """The change of the WCSS in every round."""
+    found = cluster.wcss_changes(spark, _three_rounds(spark, sf_dir))
+    return found.select("iteration", *(F.round(c, 6).alias(c) for c in ("wcss", "change", "drop_pct")))
+
+
 _SIDE = f"{_Z}, q AS (SELECT *, CASE WHEN x < -0.5 THEN 0 WHEN x < 0.5 THEN 1 ELSE 2 END AS c FROM z)"
 
 
@@ -59,6 +72,16 @@ def silhouettes(spark, sf_dir):
     return evaluate.silhouettes(_sided(spark, sf_dir), "id", "v", "c").withColumn("silhouette", F.round("silhouette", 6))
 
 
+@query(f"""WITH {_SIDE}, n AS (SELECT a.id, a.c, b.c AS o, avg(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2))) AS d FROM q a JOIN q b ON a.id <> b.id GROUP BY ALL),
+s AS (SELECT id, c, max(CASE WHEN c = o THEN d END) AS a, min(CASE WHEN c <> o THEN d END) AS b FROM n GROUP BY ALL),
+v AS (SELECT c, CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM s),
+g AS (SELECT 'all' AS cluster, avg(s) AS m, count(*) AS n FROM v UNION ALL SELECT c::VARCHAR, avg(s), count(*) FROM v GROUP BY c)
+SELECT cluster, round(m, 6) AS silhouette, n, CASE WHEN m > 0.7 THEN 'strong' WHEN m > 0.5 THEN 'reasonable' WHEN m > 0.25 THEN 'weak' ELSE 'none' END AS quality FROM g""")
+def silhouette_summary(spark, sf_dir):
+    """Means of all rows and of each cluster, with the bands of quality."""
+    return evaluate.silhouette_summary(evaluate.silhouettes(_sided(spark, sf_dir), "id", "v", "c"), "c")
+
+
 @query(f"""WITH {_SIDE}, m AS (SELECT c, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM q GROUP BY c),
 w AS (SELECT sum(power(x - mx, 2) + power(y - my, 2)) AS w FROM q JOIN m USING (c)), b AS (SELECT sum(n * (power(mx - (SELECT avg(x) FROM q), 2) + power(my - (SELECT avg(y) FROM q), 2))) AS b, count(*) AS k, sum(n) AS n FROM m)
 SELECT round((b / (k - 1)) / (w / (n - k)), 4) AS calinski_harabasz FROM w, b""")

@@ -123,6 +123,14 @@ def weather_features(spark, sf_dir):
     return w.select("l_orderkey", "l_linenumber", *(F.round(x, 5).alias(k) for k, x in values.items()))
 
 
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber, l_quantity - 8.0 AS t, l_tax * 100 * 3.6 AS v FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(CASE WHEN t <= 10 AND v >= 4.8 THEN 13.12 + 0.6215 * t - 11.37 * power(v, 0.16) + 0.3965 * t * power(v, 0.16) ELSE t END, 5) AS wind_chill FROM w""")
+def wind_chill_of_metres(spark, sf_dir):
+    """Wind in m/s, turned to km/h first."""
+    w = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") - 8.0).alias("t"), C.kmh(F.col("l_tax") * 100).alias("v"))
+    return w.select("l_orderkey", "l_linenumber", F.round(C.wind_chill(F.col("t"), F.col("v")), 5).alias("wind_chill"))
+
+
 @query("SELECT event_id, round(coalesce(value - lag(value, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0), 6) AS diff3 FROM events")
 def lag_difference(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -147,11 +155,7 @@ def outlier_report(spark, sf_dir):
 
 @query(f"""WITH {_GAPS} SELECT count(*) AS n_rows, count_if(value IS NULL)::BIGINT AS n_null, round(100.0 * count_if(value IS NULL) / count(*), 4) AS pct_null, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT event_type) AS n_types FROM g""")
 def readiness_report(spark, sf_dir):
-    null = F.count_if(F.col("value").isNull())
-    return _events(spark, sf_dir).agg(
-        F.count("*").alias("n_rows"), null.alias("n_null"), F.round(100.0 * null / F.count("*"), 4).alias("pct_null"),
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_distinct("event_type").alias("n_types"),
-    )
+    return prep.readiness(_events(spark, sf_dir), "value", "ts", "event_type")
 
 
 def _rank(key: str, by: str = "") -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.lineage import settle
 from ..operators import prep, stats
 from .base import query, table
 
@@ -35,10 +36,10 @@ _CLIPPED = """(SELECT l_returnflag, CASE WHEN l_extendedprice < q1 - 1.5 * (q3 -
 def flag_profile(spark, sf_dir):
     """Prices clipped to the IQR bounds, then z-scores, then a profile per return flag."""
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("price_z"))
-    bounds = prep.fit_iqr(rows, ["price_z"])
+    bounds = settle(prep.fit_iqr(rows, ["price_z"]))
     x, low, high = (F.col(c) for c in ("price_z", "price_z_low", "price_z_high"))
     clipped = rows.crossJoin(F.broadcast(bounds)).select("l_returnflag", F.when(x < low, low).when(x > high, high).otherwise(x).alias("price_z"))
-    scaled = prep.apply_standard(clipped, prep.fit_standard(clipped, ["price_z"]), ["price_z"])
+    scaled = prep.apply_standard(clipped, settle(prep.fit_standard(clipped, ["price_z"])), ["price_z"])
     return stats.profile(scaled, ["price_z"], ["l_returnflag"])
 
 

@@ -280,7 +280,7 @@ def test_pipeline_and_stream(spark, tmp_path):
     for mode in ("append", "replace", "upsert", "upsert"):
         stats = flow.run("csv", str(folder), "piped", kinds, mode, "id")
         assert {k: stats[k] for k in want} == want and spark.table("piped").count() == 3
-        assert stats["rows_transformed"] == 5 and etl.report(stats).splitlines()[3].split() == ["rows", "loaded", "3"]
+        assert stats["rows_transformed"] == 5 and stats["rows_cleaned"] == 5 and etl.report(stats).splitlines()[4].split() == ["rows", "loaded", "3"]
     with pytest.raises(ValueError):
         flow.run("xml", str(folder), "piped", kinds)
     spark.sql("ALTER TABLE piped RENAME TO piped__old")  # as if stopped between the renames
