@@ -44,11 +44,11 @@ def test_kernel_machine_against_an_exact_one(spark):
 def test_folds_together_and_apart(spark):
     rng = np.random.default_rng(1)
     rows = [(i, int(i % 4), float(i % 3), [float(v) for v in rng.normal(i % 3, 1.0, 5)]) for i in range(240)]
-    df = spark.createDataFrame([*rows, (999, 1, None, [0.0] * 5), (998, 1, 1.0, None)], "id long, fold int, y double, x array<double>").repartition(5)
+    df = spark.createDataFrame([*rows, (999, 1, None, [0.0] * 5), (998, 1, 1.0, None)], "id long, fold int, y double, x array<double>").repartition(2)
     for loss in (linear.squared_hinge, linear.softmax):
-        model = linear.fit_folds(df, "x", "y", "fold", loss, steps=200)
+        model = linear.fit_folds(df, "x", "y", "fold", loss, steps=60)
         assert model.folds == [0, 1, 2, 3] and model.classes == [0.0, 1.0, 2.0]
-        alone = linear.fit_folds(df.where("fold <> 2"), "x", "y", None, loss, steps=200)
+        alone = linear.fit_folds(df.where("fold <> 2"), "x", "y", None, loss, steps=60)
         assert np.abs(model.weights[2] - alone.weights[0]).max() < 0.02
         hit = df.where("x is not null").withColumn("p", model.predict(F.col("x"), F.col("fold"))).where("p = y").count()
         assert hit > 150
