@@ -67,7 +67,7 @@ def kmeans_restarts(df: DataFrame, columns: list[str], k: int, restarts: int = 1
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(df).cache()
+    rows = cut(VectorAssembler(inputCols=columns, outputCol="features").transform(df))
     models = [KMeans(k=k, seed=s, maxIter=50).fit(rows) for s in range(restarts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best, best.transform(rows)

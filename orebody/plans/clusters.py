@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import cluster, evaluate
 from .base import query, table
 
@@ -141,10 +142,10 @@ def agglomerative_merges(spark, sf_dir):
 @query()
 def linkage_comparison(spark, sf_dir):
     """Cophenetic correlation, clusters at several heights, and the last heights, by linkage."""
-    s = _suppliers(spark, sf_dir).cache()
+    s = cut(_suppliers(spark, sf_dir))
     n, rows = s.count(), []
     for name in ("single", "complete", "average"):
-        steps = cluster.merges(s, "id", ["x", "y"], name).cache()
+        steps = cut(cluster.merges(s, "id", ["x", "y"], name))
         got = steps.orderBy("step").collect()
         cuts = [len(set(cluster.cut_merges(got, n, h))) for h in (0.5, 1.0, 1.5, 2.5)]
         rows.append((name, cluster.cophenetic(s, "id", ["x", "y"], steps), *cuts, got[-2]["height"], got[-1]["height"]))
@@ -153,7 +154,7 @@ def linkage_comparison(spark, sf_dir):
 
 @query()
 def elbow(spark, sf_dir):
-    return cluster.elbow(_suppliers(spark, sf_dir).cache(), "id", ["x", "y"], range(1, 11))
+    return cluster.elbow(cut(_suppliers(spark, sf_dir)), "id", ["x", "y"], range(1, 11))
 
 
 @query()
