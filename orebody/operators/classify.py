@@ -7,11 +7,12 @@ import re
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from .blocks import block_pairs, distances, type_of, vectors
+from .blocks import BLOCK, chosen_pairs, distances, near_blocks, pivots_of, type_of, vectors, work_on
 from .evaluate import averages, class_report
 from .linear import fit_folds, fourier_features, softmax, squared_hinge
 
@@ -63,36 +64,82 @@ def predict_gaussian(df: DataFrame, model: DataFrame, columns: list[str]) -> Dat
     return scored.withColumn("prediction", F.when(F.col("best_.s").isNotNull(), F.col("best_.y"))).drop("model_", "best_")
 
 
-def nearest_neighbours(test: DataFrame, train: DataFrame, key: str, vector: str, label: str, k: int = 3, apart: str | None = None) -> DataFrame:
+def nearest_neighbours(
+    test: DataFrame, train: DataFrame, key: str, vector: str, label: str, k: int = 3, apart: str | None = None, size: int = BLOCK, tally: dict | None = None
+) -> DataFrame:
     """(key, prediction) by vote of the k nearest (ties: smaller training key; votes: smaller label). Test keys are
-    distinct. Rows alike in `apart`, if given, are no neighbours: with folds, one pass is a cross-validation. Each pair of blocks gives the k nearest of its test rows; what is shuffled is k rows for each test row and
-    training block."""
+    distinct; rows without a vector take no part. Rows alike in `apart`, if given, are no neighbours: with folds, one pass
+    is a cross-validation.
+
+    Exact, without most pairs of blocks: first a block of test rows meets the nearest blocks that hold k training rows,
+    which bounds the k-th distance of each row; then those whose least distance is within its rows' bounds. A row gives
+    out only what is within its bound. tally, if given, gets the number of pairs of blocks and of those computed."""
+    spark = test.sparkSession
     group = (F.col(apart) if apart else F.lit(0)).alias("apart")
-    a = test.select(F.col(key).alias("key"), F.col(vector).alias("vector"), group)
-    b = train.select(F.col(key).alias("near"), F.col(vector).alias("vector"), F.col(label).alias("y"), group)
+    a = test.select(F.col(key).alias("key"), F.col(vector).alias("vector"), group).where("vector is not null")
+    b = train.select(F.col(key).alias("near"), F.col(vector).alias("vector"), F.col(label).alias("y"), group).where("vector is not null")
+    a, b = cut(a), cut(b)
+    kinds = f"key {type_of(a, 'key')}, near {type_of(b, 'near')}, y {type_of(b, 'y')}, d double"
+    pivots = pivots_of(b, "vector", size)
+    if not len(pivots):
+        return spark.createDataFrame([], f"`{key}` {type_of(a, 'key')}, prediction {type_of(b, 'y')}")
+    (x, here), (y, there) = near_blocks(a, "vector", pivots, size), near_blocks(b, "vector", pivots, size)
 
     def work(p, q):
         import numpy as np
         import pandas as pd
 
         q = q.sort_values("near", kind="stable")
+        v, w = vectors(p["vector"]), vectors(q["vector"])
+        if "bound" in p:
+            gap = np.maximum(0, np.maximum(w.min(axis=0) - v, v - w.max(axis=0)))
+            reached = ~(np.sqrt((gap * gap).sum(axis=1)) > _widened(p["bound"].to_numpy()))
+            p, v = p[reached], v[reached]
         keys, near, y, out = p["key"].to_numpy(), q["near"].to_numpy(), q["y"].to_numpy(), []
-        for part, d in distances(vectors(p["vector"]), vectors(q["vector"])):
+        for part, d in distances(v, w):
             d = np.round(d, 9)
             if apart:
                 d[p["apart"].to_numpy()[part][:, None] == q["apart"].to_numpy()] = np.inf
             at = np.argsort(d, axis=1, kind="stable")[:, :k]
-            own = np.repeat(keys[part], at.shape[1])
-            out.append(pd.DataFrame({"key": own, "near": near[at.ravel()], "y": y[at.ravel()], "d": np.take_along_axis(d, at, axis=1).ravel()}))
-        return pd.concat(out)
-
-    rows = block_pairs(a, b, work, f"key {type_of(a, 'key')}, near {type_of(b, 'near')}, y {type_of(b, 'y')}, d double").where("d < double('infinity')")
-    first = Window.partitionBy("key").orderBy("d", "near")
-    votes = rows.withColumn("r_", F.row_number().over(first)).where(F.col("r_") <= k).groupBy("key", "y").agg(F.count("*").alias("v_"))
+            best = np.take_along_axis(d, at, axis=1).ravel()
+            rows = pd.DataFrame({"key": np.repeat(keys[part], at.shape[1]), "near": near[at.ravel()], "y": y[at.ravel()], "d": best})
+            within = np.repeat(p["bound"].to_numpy()[part], at.shape[1]) if "bound" in p else np.inf
+            out.append(rows[(best < np.inf) & ~(best > within)])
+        return pd.concat(out) if out else pd.DataFrame({"key": [], "near": [], "y": [], "d": []})
+
+    def nearest_blocks(at):
+        least, _ = here.bounds(at, there)
+        order = np.argsort(np.where(there.counts > 0, least, np.inf), kind="stable")
+        return order[: np.searchsorted(np.cumsum(there.counts[order]), k) + 1]
+
+    first = chosen_pairs(spark, here, nearest_blocks)
+    begun = cut(work_on(x, y, first, work, kinds))
+    by_distance = Window.partitionBy("key").orderBy("d", "near")
+    kth = begun.withColumn("r_", F.row_number().over(by_distance)).where(F.col("r_") == k).select(F.col("key"), F.col("d").alias("bound"))
+    bounded = cut(x.join(kth, "key", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))))
+    reach = {r["block_"]: r["w"] for r in bounded.groupBy("block_").agg(F.max("bound").alias("w")).collect()}  # a row per block
+
+    def reached_blocks(at):
+        least, _ = here.bounds(at, there)
+        rest = (there.counts > 0) & ~(least > _widened(reach[at]))
+        rest[nearest_blocks(at)] = False
+        return np.flatnonzero(rest)
+
+    second = chosen_pairs(spark, here, reached_blocks)
+    if tally is not None:
+        tally["pairs"] = int((here.counts > 0).sum() * (there.counts > 0).sum())
+        tally["computed"] = first.count() + second.count()
+    rows = begun.unionByName(work_on(bounded, y, second, work, kinds))
+    votes = rows.withColumn("r_", F.row_number().over(by_distance)).where(F.col("r_") <= k).groupBy("key", "y").agg(F.count("*").alias("v_"))
     best = votes.groupBy("key").agg(F.min(F.struct((-F.col("v_")).alias("v"), "y")).alias("b"))
     return best.select(F.col("key").alias(key), F.col("b.y").alias("prediction"))
 
 
+def _widened(distance):
+    """A distance with room for its rounding to nine digits."""
+    return distance * (1 + 1e-9) + 1e-8
+
+
 def _assembled(df: DataFrame, columns: list[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
