@@ -9,7 +9,9 @@ import urllib.request
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual,
+)
 from pyspark.sql.types import StructType
 
 
@@ -20,24 +22,90 @@ def read_csv(spark: SparkSession, path: str, schema: str | StructType | None = N
 
 
 class _Rows(DataSourceReader):
+    """Rows of a source that filters as far as it can: what is pushed lets through no fewer rows than Spark's own filters,
+    which stay."""
+
     def __init__(self, options: dict, schema: StructType):
         self.options, self.schema, self.names = options, schema, schema.fieldNames()
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
+    def push(self, one: Filter) -> None:
+        raise NotImplementedError
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for one in filters:
+            if len(one.attribute if hasattr(one, "attribute") else ()) == 1:
+                self.push(one)
+            yield one
+
+
+_COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
 
 
 class _SqliteReader(_Rows):
+    def __init__(self, options: dict, schema: StructType):
+        super().__init__(options, schema)
+        self.where: list[str] = []
+        self.values: list = []
+
+    def push(self, one: Filter) -> None:
+        """Numbers are compared as Spark holds them. A column read as text may hold other types, which pass."""
+        name = one.attribute[0]
+        if name not in self.names:
+            return
+        column, kind = _quoted(name), self.schema[name].dataType.typeName()
+        if isinstance(one, (IsNull, IsNotNull)):
+            self.where.append(f"{column} IS {'NOT ' if isinstance(one, IsNotNull) else ''}NULL")
+            return
+        values = list(one.value) if isinstance(one, In) else [getattr(one, "value", None)]
+        fits = {"long": int, "double": (int, float), "string": str}.get(kind)
+        if not (isinstance(one, In) or type(one) in _COMPARED) or fits is None or not all(isinstance(v, fits) for v in values) or not 0 < len(values) <= 500:
+            return
+        if kind == "double" and any(v != v for v in values):  # SQLite has no NaN
+            return
+        column = {"long": column, "double": f"CAST({column} AS REAL)", "string": f"{column} COLLATE BINARY"}[kind]
+        test = f"{column} IN ({', '.join('?' * len(values))})" if isinstance(one, In) else f"{column} {_COMPARED[type(one)]} ?"
+        self.where.append(f"(typeof({_quoted(name)}) NOT IN ('text', 'null') OR {test})" if kind == "string" else test)
+        self.values += values
+
+    def partitions(self) -> list[InputPartition]:
+        """Ranges of whole numbers of equal width; the first also takes what is not a whole number."""
+        key, parts = self.options.get("key"), int(self.options.get("parts", "1"))
+        if not key or parts < 2:
+            return [InputPartition(("1", ()))]
+        name = _quoted(key)
+        with sqlite3.connect(self.options["path"]) as db:
+            lo, hi = db.execute(f"SELECT min({name}), max({name}) FROM ({self.options['query']}) WHERE typeof({name}) = 'integer'").fetchone()
+        if lo is None:
+            return [InputPartition(("1", ()))]
+        edges = sorted({lo + (hi - lo + 1) * i // parts for i in range(parts)})
+        out = []
+        for i, low in enumerate(edges):
+            tests, values = [], []
+            if i:
+                tests, values = [f"{name} >= ?"], [low]
+            if i + 1 < len(edges):
+                tests, values = [*tests, f"{name} < ?"], [*values, edges[i + 1]]
+            whole = " AND ".join([f"typeof({name}) = 'integer'", *tests])
+            out.append(InputPartition((whole if i else f"({whole} OR typeof({name}) <> 'integer')", tuple(values))))
+        return out
+
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        share, bounds = partition.value
         as_text = [f.dataType.typeName() == "string" for f in self.schema.fields]
+        query = f"SELECT * FROM ({self.options['query']}) WHERE {' AND '.join([share, *self.where])}"
         with sqlite3.connect(self.options["path"]) as db:
-            for row in db.execute(self.options["query"]):
+            for row in db.execute(query, (*bounds, *self.values)):
                 yield tuple(x if x is None or not t else x.decode(errors="replace") if isinstance(x, bytes) else str(x) for x, t in zip(row, as_text))
 
 
 class SqliteSource(DataSource):
     """A query's rows, typed by what its columns hold: integers, numbers, blobs, or else text. The file must be on a
-    folder that the executors share; SQLite has no parallel read, so it is one partition."""
+    folder that the executors share. With `key`, a column of whole numbers, the rows are read in `parts` ranges of it; of a
+    table's rowid a range is found without a scan. Comparisons, IN and tests for null are pushed into the query."""
 
     @classmethod
     def name(cls) -> str:
@@ -48,7 +116,7 @@ class SqliteSource(DataSource):
         with sqlite3.connect(self.options["path"]) as db:
             query = self.options["query"]
             for (name, *_) in db.execute(f"SELECT * FROM ({query}) LIMIT 0").description:
-                quoted = '"' + name.replace('"', '""') + '"'
+                quoted = _quoted(name)
                 held = {r[0] for r in db.execute(f"SELECT DISTINCT typeof({quoted}) FROM ({query})")} - {"null"}
                 kinds = (({"integer"}, "long"), ({"integer", "real"}, "double"), ({"blob"}, "binary"))
                 out = out.add(name, next((kind for of, kind in kinds if held and held <= of), "string"))
@@ -67,8 +135,22 @@ def json_records(body: str) -> list[dict]:
 
 
 class _RestReader(_Rows):
+    def __init__(self, options: dict, schema: StructType):
+        super().__init__(options, schema)
+        self.asked: dict[str, str] = {}
+
+    def push(self, one: Filter) -> None:
+        if isinstance(one, EqualTo) and isinstance(one.value, str) and one.attribute[0] in json.loads(self.options.get("filters", "[]")):
+            self.asked[one.attribute[0]] = one.value
+
+    def partitions(self) -> list[InputPartition]:
+        first, pages = int(self.options.get("first_page", "1")), int(self.options.get("pages", "0"))
+        return [InputPartition(first + n) for n in range(pages)] or [InputPartition(None)]
+
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        params = json.loads(self.options.get("params", "{}"))
+        params = json.loads(self.options.get("params", "{}")) | self.asked
+        if partition.value is not None:
+            params[self.options.get("page_param", "page")] = partition.value
         url = self.options["url"] + ("?" + urllib.parse.urlencode(params) if params else "")
         with urllib.request.urlopen(url, timeout=float(self.options.get("timeout", "30"))) as answer:
             for record in json_records(answer.read().decode()):
@@ -76,7 +158,8 @@ class _RestReader(_Rows):
 
 
 class RestSource(DataSource):
-    """JSON over HTTP; the schema is the caller's. An HTTP error fails the read."""
+    """JSON over HTTP; the schema is the caller's. An HTTP error fails the read. With `pages`, each page is a partition of
+    its own. Equality with a text, on a column named in `filters`, is asked of the server as well."""
 
     @classmethod
     def name(cls) -> str:
@@ -86,14 +169,24 @@ class RestSource(DataSource):
         return _RestReader(self.options, schema)
 
 
-def read_sqlite(spark: SparkSession, path: str, query: str = "SELECT * FROM source") -> DataFrame:
-    spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite_query").option("path", path).option("query", query).load()
+def _register(spark: SparkSession, source: type[DataSource]) -> None:
+    spark.dataSource.register(source)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def read_sqlite(spark: SparkSession, path: str, query: str = "SELECT * FROM source", key: str | None = None, parts: int = 1) -> DataFrame:
+    _register(spark, SqliteSource)
+    reader = spark.read.format("sqlite_query").option("path", path).option("query", query).option("parts", parts)
+    return (reader.option("key", key) if key else reader).load()
 
 
-def read_rest(spark: SparkSession, url: str, schema: str, params: dict | None = None) -> DataFrame:
-    spark.dataSource.register(RestSource)
-    return spark.read.format("rest_json").schema(schema).option("url", url).option("params", json.dumps(params or {})).load()
+def read_rest(
+    spark: SparkSession, url: str, schema: str, params: dict | None = None, pages: int = 0, page_param: str = "page", first_page: int = 1, filters: list[str] | None = None
+) -> DataFrame:
+    """filters: columns that the server takes as parameters of the same name."""
+    _register(spark, RestSource)
+    reader = spark.read.format("rest_json").schema(schema).option("url", url).option("params", json.dumps(params or {}))
+    return reader.option("pages", pages).option("page_param", page_param).option("first_page", first_page).option("filters", json.dumps(filters or [])).load()
 
 
 def weather(spark: SparkSession, hours: int = 1000, seed: int = 42, null_share: float = 0.08) -> DataFrame:
