@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import cast_lenient, right_closed, strip, whole_days
+from ..functions.lineage import cut
 
 log = logging.getLogger(__name__)
 
@@ -81,7 +82,7 @@ def upserted(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """Target rows whose key the source lacks, and all source rows (repeated keys in the source stay)."""
     if key not in target.columns or key not in source.columns:
         raise ValueError(f"no column {key!r}")
-    return target.join(source.select(key).distinct(), key, "left_anti").unionByName(source)
+    return target.join(source.select(key).distinct(), key, "left_anti").select(*target.columns).unionByName(source)
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
@@ -98,10 +99,19 @@ def null_counts(df: DataFrame) -> DataFrame:
     )
 
 
+BUCKET = "key_bucket"
+
+
 def _recover(spark: SparkSession, name: str) -> None:
-    """Makes good an upsert that stopped on its way. Without the target, __old is the target's last state and becomes it
-    again. With it, the merged rows have already taken its place, and __old is not needed."""
-    old = f"{name}__old"
+    """Makes good an upsert that stopped on its way. Merged buckets that were complete are put in place again. Without the
+    target, __old is the target's last state and becomes it again. With it, the merged rows have already taken its place,
+    and __old is not needed."""
+    old, merged = f"{name}__old", f"{name}__merged"
+    if spark.catalog.tableExists(merged):
+        if spark.catalog.tableExists(name):
+            _replace_buckets(spark, name)
+        else:
+            spark.sql(f"DROP TABLE {merged}")
     if not spark.catalog.tableExists(old):
         return
     if spark.catalog.tableExists(name):
@@ -110,26 +120,88 @@ def _recover(spark: SparkSession, name: str) -> None:
         spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
 
 
-def load(df: DataFrame, name: str, mode: str = "append", key: str | None = None) -> int:
+def _bucketing(spark: SparkSession, name: str) -> tuple[str, int] | None:
+    """The key and the number of buckets of a table that was made with them."""
+    if not spark.catalog.tableExists(name):
+        return None
+    held = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+    return (held["upsert.key"], int(held["upsert.buckets"])) if "upsert.buckets" in held else None
+
+
+def _in_buckets(df: DataFrame, key: str, buckets: int, kind: str | None = None) -> DataFrame:
+    """df with its bucket: of the key as the target holds it, so 2 of any type is in the bucket of 2."""
+    held = F.col(key).cast(kind).cast("string") if kind else F.col(key).cast("string")
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(held), F.lit(buckets)).cast("int"))
+
+
+def _replace_buckets(spark: SparkSession, name: str) -> None:
+    """Puts the rows of __merged in the place of their buckets. Doing it twice changes nothing."""
+    merged, conf = f"{name}__merged", "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "dynamic")
+    try:
+        rows = spark.table(merged).select(*spark.table(name).columns)
+        rows.hint("rebalance", BUCKET).write.mode("overwrite").insertInto(name)
+    finally:
+        spark.conf.set(conf, before)
+    spark.sql(f"DROP TABLE {merged}")
+
+
+def _upsert_buckets(df: DataFrame, name: str, key: str, buckets: int) -> int:
+    """Merges and rewrites the buckets that hold a key of df; files of other buckets are neither read nor written. The
+    merged rows are complete, under a name of their own, before the target is touched."""
+    spark = df.sparkSession
+    target = spark.table(name)
+    source = cut(_in_buckets(df, key, buckets, target.schema[key].dataType.simpleString()))
+    touched = [r[BUCKET] for r in source.select(BUCKET).distinct().collect()]  # a row per bucket
+    rows = source.count()
+    if touched:
+        staging, merged = f"{name}__staging", f"{name}__merged"
+        upserted(target.where(F.col(BUCKET).isin(touched)), source, key).write.mode("overwrite").saveAsTable(staging)
+        spark.sql(f"ALTER TABLE {staging} RENAME TO {merged}")
+        _replace_buckets(spark, name)
+    return rows
+
+
+def load(df: DataFrame, name: str, mode: str = "append", key: str | None = None, buckets: int = 0) -> int:
     """Loads into a catalogue table and returns the rows loaded. append and replace are plain writes. upsert needs a
     key; it writes the merged rows once, to a staging table, and renames that to the target. A load that stopped
-    between the two renames is made good by the next load of any mode."""
+    between the two renames is made good by the next load of any mode.
+
+    With a key and buckets, a table that is made anew (by replace, or since there is none) is partitioned by key_bucket, a
+    hash of the key, and remembers both; an upsert by that key then rewrites the buckets that it touches and no others. A
+    bucket should be some gigabytes. An upsert by another key rewrites the table whole and leaves it without buckets."""
     spark = df.sparkSession
     if mode not in ("append", "replace", "upsert"):
         raise ValueError(f"unknown mode {mode!r}")
     if mode == "upsert" and (key is None or key not in df.columns):
         raise ValueError("upsert needs a key column")
+    if buckets and (key is None or key not in df.columns):
+        raise ValueError("buckets need a key column")
+    if buckets and BUCKET in df.columns:
+        raise ValueError(f"a column is named {BUCKET!r}")
     _recover(spark, name)
+    held = _bucketing(spark, name)
+    anew = mode == "replace" or not spark.catalog.tableExists(name)
+    if mode == "upsert" and held and held[0] == key:
+        return _upsert_buckets(df, name, *held)
     seen = Observation()
     counted = df.observe(seen, F.count("*").alias("rows"))
-    if mode == "append":
-        counted.write.mode("append").saveAsTable(name)
-    elif mode == "replace" or not spark.catalog.tableExists(name):
+    if anew and buckets:
+        rows = _in_buckets(counted, key, buckets).hint("rebalance", BUCKET)
+        rows.write.mode("overwrite").partitionBy(BUCKET).saveAsTable(name)
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('upsert.key' = '{key}', 'upsert.buckets' = '{buckets}')")
+    elif anew:
         counted.write.mode("overwrite").saveAsTable(name)
+    elif mode == "append" and held:
+        rows = _in_buckets(counted, *held, spark.table(name).schema[held[0]].dataType.simpleString())
+        rows.hint("rebalance", BUCKET).write.mode("append").partitionBy(BUCKET).saveAsTable(name)
+    elif mode == "append":
+        counted.write.mode("append").saveAsTable(name)
     else:
         staging, old = f"{name}__staging", f"{name}__old"
         rows = int(df.count())
-        upserted(spark.table(name), df, key).write.mode("overwrite").saveAsTable(staging)
+        upserted(spark.table(name).drop(BUCKET) if held else spark.table(name), df, key).write.mode("overwrite").saveAsTable(staging)
         spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
         spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
         spark.sql(f"DROP TABLE {old}")
@@ -147,7 +219,7 @@ class Pipeline:
 
     def run(
         self, kind: str, source: str, target: str, kinds: dict[str, str], mode: str = "append", key: str | None = None,
-        query: str = "SELECT * FROM source",
+        query: str = "SELECT * FROM source", buckets: int = 0,
     ) -> dict[str, float]:
         if kind not in self.readers:
             raise ValueError(f"unknown source kind {kind!r}")
@@ -157,7 +229,7 @@ class Pipeline:
         seen, tidy, judged = Observation(), Observation(), Observation()
         rows = transform(raw.observe(seen, F.count("*").alias("rows")), kinds, self.required, cleaned=tidy)
         rows = rows.observe(judged, F.count("*").alias("rows"), F.count_if(~F.col("is_valid")).alias("rejected"))
-        loaded = load(rows.where("is_valid"), target, mode, key)
+        loaded = load(rows.where("is_valid"), target, mode, key, buckets)
         stats = {
             "rows_extracted": seen.get["rows"], "rows_cleaned": tidy.get["rows"], "rows_transformed": judged.get["rows"], "rows_rejected": judged.get["rejected"],
             "rows_loaded": loaded, "duration_sec": round(time.monotonic() - began, 3),
