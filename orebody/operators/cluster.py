@@ -43,6 +43,79 @@ def plus_plus(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> list
     return centres
 
 
+def seed_in_rounds(df: DataFrame, columns: list[str], k: int, seed: int = 42, rounds: int = 4, factor: int = 2) -> list[list[float]]:
+    """Seeds in `rounds` + 2 passes, however large k: each round draws factor * k rows by weight d^2 in one pass, the
+    largest of ln(u) / d^2; then every row votes for its nearest candidate, and k-means++ and Lloyd's rounds on the
+    weighted candidates, at most factor * k * rounds + 1 of them, give k. Rows with a null take no part."""
+    import numpy as np
+    import pandas as pd
+
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).na.drop()
+    first = rows.orderBy(F.rand(seed)).limit(1).collect()
+    if not first:
+        return []
+    found = np.array(first, dtype=float)
+
+    def nearest(batch, centres):
+        """(place, squared distance) of the nearest centre, in strips."""
+        x = batch.to_numpy(dtype=float)
+        at, d2 = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+        for part, d in distances(x, centres):
+            at[part] = d.argmin(axis=1)
+            d2[part] = d.min(axis=1) ** 2
+        return at, d2
+
+    for n in range(rounds):
+
+        def apart(batches, known=found):
+            for batch in batches:
+                yield batch.assign(d2_=nearest(batch, known)[1])
+
+        weight = F.log(1 - F.rand(seed + n + 1)) / F.nullif(F.col("d2_"), F.lit(0.0))
+        placed = rows.mapInPandas(apart, ", ".join([*(f"`{c}` double" for c in columns), "d2_ double"]))
+        drawn = placed.withColumn("w_", weight).where("w_ is not null").orderBy(F.desc("w_")).limit(factor * k).select(*columns).collect()
+        if not drawn:
+            break
+        found = np.unique(np.concatenate([found, np.array(drawn, dtype=float)]), axis=0)
+
+    def vote(batches):
+        total = np.zeros(len(found), dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(nearest(batch, found)[0], minlength=len(found))
+        yield pd.DataFrame({"at": np.arange(len(found)), "n": total})
+
+    votes = {r["at"]: r["n"] for r in rows.mapInPandas(vote, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    weights = np.array([votes[i] for i in range(len(found))], dtype=float)
+    return _weighted_means(found, weights, k, seed)
+
+
+def _weighted_means(x, weights, k: int, seed: int, tries: int = 8) -> list[list[float]]:
+    """The best of a few runs of k-means++ and Lloyd's rounds on a few weighted points."""
+    import numpy as np
+
+    rng, best = np.random.default_rng(seed), (np.inf, None)
+    for _ in range(tries):
+        centres = x[[rng.choice(len(x), p=weights / weights.sum())]]
+        while len(centres) < min(k, len(x)):
+            d2 = weights * ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
+            if not d2.sum():
+                break
+            centres = np.concatenate([centres, x[[rng.choice(len(x), p=d2 / d2.sum())]]])
+        for _ in range(30):
+            d2 = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+            at = d2.argmin(axis=1)
+            mass = np.bincount(at, weights, len(centres))
+            moved = np.stack([np.bincount(at, weights * x[:, j], len(centres)) for j in range(x.shape[1])], axis=1) / np.maximum(mass, 1e-300)[:, None]
+            moved[mass == 0] = centres[mass == 0]
+            if np.array_equal(moved, centres):
+                break
+            centres = moved
+        cost = float((weights * ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)).sum())
+        if cost < best[0]:
+            best = cost, centres
+    return best[1].tolist()
+
+
 def kmeans(df: DataFrame, columns: list[str], centres: list[list[float]], max_iter: int = 100) -> tuple[list[list[float]], list[float]]:
     """Lloyd's iterations from given centres until they rest: (centres, WCSS of every iteration)."""
     trace: list[float] = []
@@ -78,7 +151,7 @@ def elbow(df: DataFrame, key: str, columns: list[str], ks: range, seed: int = 42
     (null for one cluster), and the rounds until rest with the change of the WCSS in the last."""
     rows, last = [], None
     for k in ks:
-        centres, trace = kmeans(df, columns, plus_plus(df, columns, k, seed))
+        centres, trace = kmeans(df, columns, seed_in_rounds(df, columns, k, seed))
         mean = None
         if k > 1:
             placed = assign(df, columns, centres).withColumn("vector_", F.array(*columns))
