@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import block_pairs, distances, type_of, vectors
+from .blocks import distances, is_own, own_pairs, type_of, vectors
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -78,26 +78,34 @@ def calinski_harabasz(df: DataFrame, cluster: str, columns: list[str]) -> DataFr
 
 def silhouettes(df: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
     """(key, cluster, silhouette) by Euclidean distance; 0 for a cluster of one. Keys are distinct. A task gives, for the
-    rows of its block, the sum of distances to each cluster of another."""
+    rows of its two blocks, the sums of distances to each cluster of the other."""
     rows = df.select(F.col(key).alias("key"), F.col(cluster).alias("own"), F.col(vector).alias("vector"))
 
     def work(p, q):
         import numpy as np
         import pandas as pd
 
-        groups, at = np.unique(q["own"].to_numpy(), return_inverse=True)
-        one = np.zeros((len(q), len(groups)))
-        one[np.arange(len(q)), at] = 1
-        keys, other, out = p["key"].to_numpy(), q["key"].to_numpy(), []
-        for part, d in distances(vectors(p["vector"]), vectors(q["vector"])):
-            apart = (keys[part, None] != other[None, :]).astype(float)
-            sums, counts = (d * apart) @ one, apart @ one
+        def grouped(rows):
+            groups, at = np.unique(rows["own"].to_numpy(), return_inverse=True)
+            return groups, (at[:, None] == np.arange(len(groups))).astype(float)
+
+        def sums_of(rows, groups, sums, counts):
             i, g = np.nonzero(counts)
-            out.append(pd.DataFrame({"key": keys[part][i], "own": p["own"].to_numpy()[part][i], "other": groups[g], "s": sums[i, g], "n": counts[i, g].astype(int)}))
-        return pd.concat(out)
+            return pd.DataFrame({"key": rows["key"].to_numpy()[i], "own": rows["own"].to_numpy()[i], "other": groups[g], "s": sums[i, g], "n": counts[i, g].astype(int)})
+
+        (left, of_left), (right, of_right) = grouped(p), grouped(q)
+        there, back = np.zeros((len(p), len(right))), np.zeros((len(q), len(left)))
+        for part, d in distances(vectors(p["vector"]), vectors(q["vector"])):
+            there[part] = d @ of_right
+            back += d.T @ of_left[part]
+        if is_own(p, q):  # a row is at no distance from itself, and not counted
+            counts = of_right.sum(axis=0) - (p["own"].to_numpy()[:, None] == right)
+            return sums_of(p, right, there, counts)
+        to, fro = (np.tile(one.sum(axis=0), (n, 1)) for one, n in ((of_right, len(p)), (of_left, len(q))))
+        return pd.concat([sums_of(p, right, there, to), sums_of(q, left, back, fro)])
 
     k, c = type_of(rows, "key"), type_of(rows, "own")
-    near = block_pairs(rows, rows, work, f"key {k}, own {c}, other {c}, s double, n long")
+    near = own_pairs(rows, work, f"key {k}, own {c}, other {c}, s double, n long")
     near = near.groupBy("key", "own", "other").agg((F.sum("s") / F.sum("n")).alias("d_"))
     own, other = F.max(F.when(F.col("own") == F.col("other"), F.col("d_"))), F.min(F.when(F.col("own") != F.col("other"), F.col("d_")))
     s = near.groupBy("key", "own").agg(own.alias("a"), other.alias("b"))

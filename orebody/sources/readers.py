@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import sqlite3
 import urllib.parse
 import urllib.request
@@ -191,24 +192,26 @@ def read_rest(
 
 def weather(spark: SparkSession, hours: int = 1000, seed: int = 42, null_share: float = 0.08) -> DataFrame:
     """Synthetic hourly weather from 2023-01-01: temperature and humidity follow the month, rain falls in moist hours;
-    about null_share of five columns is missing, 15, 10 and 8 values are spikes, and 20 random rows come twice."""
+    about null_share of five columns is missing, 15, 10 and 8 values are spikes, and 20 random rows come twice. In order of time."""
     from pyspark.sql import functions as F
 
-    u = lambda k: F.rand(seed + k)
+    # Drawn from hashes of the hour's number, so that a value does not depend on the partition it is made in.
+    u = lambda k: F.shiftrightunsigned(F.xxhash64("id", F.lit(seed + k)), 11) / float(1 << 53)
+    normal = lambda k: F.sqrt(-2 * F.log(1 - u(100 + k))) * F.cos(2 * math.pi * u(200 + k))
     picked = lambda k, n: base.select("id").orderBy(F.xxhash64("id", F.lit(seed + k))).limit(n)
     one_of = lambda k, *v: F.element_at(F.array(*map(F.lit, v)), (F.floor(u(k) * len(v)) + 1).cast("int"))
     hour = F.expr("timestamp'2023-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id as int))")
-    base = spark.range(hours, numPartitions=1).select("id", hour.alias("timestamp"))
+    base = spark.range(hours).select("id", hour.alias("timestamp"))
     month, share = F.month("timestamp"), u(6)
     # Fixed values of the data set: levels, spreads, shares of the conditions.
     rows = base.select(
         "id", "timestamp",
-        (15 + 10 * F.sin((month - 3) * F.pi() / 6) + 4 * F.randn(seed)).alias("temperature"),
-        F.greatest(F.lit(10.0), F.least(F.lit(100.0), 60 + 15 * F.sin(month * F.pi() / 6) + 10 * F.randn(seed + 1))).alias("humidity"),
+        (15 + 10 * F.sin((month - 3) * F.pi() / 6) + 4 * normal(0)).alias("temperature"),
+        F.greatest(F.lit(10.0), F.least(F.lit(100.0), 60 + 15 * F.sin(month * F.pi() / 6) + 10 * normal(1))).alias("humidity"),
         (12 * F.sqrt(-F.log(1 - u(2)))).alias("wind_speed"),
-        (1013 + 8 * F.randn(seed + 3)).alias("pressure"),
+        (1013 + 8 * normal(3)).alias("pressure"),
         (-3 * F.log(1 - u(4))).alias("rainfall"),
-        F.greatest(F.lit(0.0), F.least(F.lit(20.0), 10 + 3 * F.randn(seed + 5))).alias("visibility"),
+        F.greatest(F.lit(0.0), F.least(F.lit(20.0), 10 + 3 * normal(5))).alias("visibility"),
         share.alias("share"),
         F.element_at(F.array(*map(F.lit, ("winter", "spring", "summer", "autumn"))), F.ceil(month / 3).cast("int")).alias("season"),
         one_of(7, "N", "NE", "E", "SE", "S", "SW", "W", "NW").alias("wind_direction"),
@@ -228,4 +231,4 @@ def weather(spark: SparkSession, hours: int = 1000, seed: int = 42, null_share:
             rows = rows.withColumn(c, F.coalesce("spike", c)).drop("spike")
     rows = rows.withColumn("rainfall", F.round("rainfall", 1))
     names = ["timestamp", "temperature", "humidity", "wind_speed", "pressure", "rainfall", "visibility", "weather_condition", "season", "wind_direction"]
-    return rows.unionByName(rows.join(F.broadcast(picked(99, 20)), "id", "left_semi")).select(*names)
+    return rows.unionByName(rows.join(F.broadcast(picked(99, 20)), "id", "left_semi")).select(*names).orderBy("timestamp")

@@ -73,3 +73,39 @@ def test_extremes_of_few_rows(spark):
     assert {tuple(r) for r in stats.extreme_pairs(df, "id", "v").collect()} == {("closest", 1, 2, 0.0), ("farthest", 1, 2, 0.0)}
     assert stats.extreme_pairs(df.limit(1), "id", "v").count() == 0
     assert stats.extreme_pairs(df.limit(0), "id", "v").count() == 0
+
+
+def test_pairs_of_several_blocks(spark, monkeypatch):
+    """Every pair once, and silhouettes from sums in both directions, with blocks of 30 rows."""
+    from orebody.operators import blocks, evaluate
+
+    whole = blocks.own_pairs
+    for module in (stats, evaluate):
+        monkeypatch.setattr(module, "own_pairs", lambda df, work, schema: whole(df, work, schema, 30))
+    x = clumps(2, 10)
+    own = [i % 3 if i else 7 for i in range(len(x))]  # a cluster of one
+    df = spark.createDataFrame([(i, v.tolist(), own[i]) for i, v in enumerate(x)], "id long, v array<double>, c int").repartition(5)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    got = {(r["i"], r["j"]): r["d"] for r in stats.pairwise(df, "id", "v").collect()}
+    assert len(got) == len(x) * (len(x) - 1) // 2 and all(i < j and abs(v - d[i, j]) < 1e-9 for (i, j), v in got.items())
+    for r in evaluate.silhouettes(df, "id", "v", "c").collect():
+        i, groups = r["id"], np.array(own)
+        if own[i] == 7:
+            assert r["silhouette"] == 0
+            continue
+        a = d[i][(groups == own[i]) & (np.arange(len(x)) != i)].mean()
+        b = min(d[i][groups == g].mean() for g in set(own) - {own[i]})
+        assert abs(r["silhouette"] - (b - a) / max(a, b)) < 1e-9
+
+
+def test_weather_does_not_depend_on_partitions(spark):
+    from orebody.sources import readers
+
+    one = [tuple(r) for r in readers.weather(spark, 300).collect()]
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "3")
+    try:
+        other = readers.weather(spark, 300)
+        assert sorted(map(str, one)) == sorted(str(tuple(r)) for r in other.collect())
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert [r[0] for r in one] == sorted(r[0] for r in one)
