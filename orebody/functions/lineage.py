@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -12,14 +13,29 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into spark.checkpoint.dir; where none is set and all runs on this machine (tests) a folder of our own
-    is: other machines would not see it."""
-    spark = df.sparkSession
+def _shared(spark) -> str:
+    """spark.checkpoint.dir; where none is set and all runs on this machine (tests) a folder of our own: other machines
+    would not see it."""
     if not spark.conf.get("spark.checkpoint.dir", None):
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
+    return spark.conf.get("spark.checkpoint.dir")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """checkpoint() into the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As cut, by a Parquet table of its own in the shared folder. For loops of many rounds: a checkpoint keeps the estimated
+    sizes of its joins, whose digits multiply from round to round until planning takes all the time; a table's are those of
+    its files."""
+    spark = df.sparkSession
+    path = f"{_shared(spark)}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

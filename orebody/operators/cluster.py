@@ -1,4 +1,4 @@
-"""Clustering: k-means, Gaussian mixtures, density clusters, agglomerative merging."""
+"""Clustering: k-means, Gaussian mixtures, density clusters. Agglomerative merging is in agglomerate."""
 
 from __future__ import annotations
 
@@ -324,87 +324,6 @@ def _line(column: str):
     return Window.orderBy(column)
 
 
-MAX_AGGLOMERATED = 5_000
-
-
-def merges(df: DataFrame, key: str, columns: list[str], linkage: str = "average") -> DataFrame:
-    """(step, left_id, right_id, height, size): Lance-Williams merging. A cluster is named after its smallest row
-    (rows numbered by key). It needs the whole distance matrix, so it is for at most MAX_AGGLOMERATED rows, and says
-    so beyond; cluster larger tables first and merge their centres."""
-    if linkage not in ("single", "complete", "average", "ward"):
-        raise ValueError(f"unknown linkage {linkage!r}")
-    n = df.count()
-    if n > MAX_AGGLOMERATED:
-        raise ValueError(f"{n} rows; at most {MAX_AGGLOMERATED} can be merged in one task")
-
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("key_")
-        x = pdf[columns].to_numpy(dtype=float)
-        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-        if linkage == "ward":
-            d = d**2
-        np.fill_diagonal(d, np.inf)
-        size, out = np.ones(len(x)), []
-        for step in range(1, len(x)):
-            i, j = divmod(int(np.argmin(d)), len(x))
-            i, j = min(i, j), max(i, j)
-            h, a, b = d[i, j], d[i].copy(), d[j].copy()
-            if linkage == "single":
-                new = np.minimum(a, b)
-            elif linkage == "complete":
-                new = np.maximum(a, b)
-            elif linkage == "average":
-                new = (size[i] * a + size[j] * b) / (size[i] + size[j])
-            else:
-                new = ((size[i] + size) * a + (size[j] + size) * b - size * h) / (size[i] + size[j] + size)
-            size[i] += size[j]
-            new[~np.isfinite(a) | ~np.isfinite(b)] = np.inf
-            d[i], d[:, i] = new, new
-            d[j], d[:, j] = np.inf, np.inf
-            d[i, i] = np.inf
-            out.append((step, i, j, math.sqrt(h) if linkage == "ward" else float(h), int(size[i])))
-        return pd.DataFrame(out, columns=["step", "left_id", "right_id", "height", "size"])
-
-    one = df.select(F.col(key).alias("key_"), *columns).withColumn("all_", F.lit(0))
-    return one.groupBy("all_").applyInPandas(run, "step int, left_id int, right_id int, height double, size int")
-
-
-def cut_merges(steps: list, n: int, height: float) -> list[int]:
-    """The cluster of each row (0 .. by first member) if merges up to a height count."""
-    top = list(range(n))
-
-    def find(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
-    for s in steps:
-        if round(s["height"], 4) <= height:
-            a, b = find(s["left_id"]), find(s["right_id"])
-            top[max(a, b)] = min(a, b)
-    ids: dict[int, int] = {}
-    return [ids.setdefault(find(i), len(ids)) for i in range(n)]
-
-
-def cophenetic(df: DataFrame, key: str, columns: list[str], steps: DataFrame) -> float:
-    """Correlation of distances with the heights at which pairs are joined (rows fit the driver: see merges)."""
-    import numpy as np
-
-    x = np.array([[float(v) for v in r] for r in df.orderBy(key).select(*columns).collect()])
-    members, own, joined = {i: [i] for i in range(len(x))}, np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), np.zeros((len(x),) * 2)
-    for s in steps.orderBy("step").collect():
-        a, b = members[s["left_id"]], members.pop(s["right_id"])
-        joined[np.ix_(a, b)] = s["height"]
-        joined[np.ix_(b, a)] = s["height"]
-        a.extend(b)
-    at = np.triu_indices(len(x), 1)
-    return float(np.corrcoef(own[at], joined[at])[0, 1])
-
-
 def linkage_distance(df: DataFrame, key: str, vector: str, cluster: str, a: int, b: int) -> DataFrame:
     """Single, complete and average distance of two clusters, from extremes and sums by pairs of blocks."""
     left, right = (df.where(F.col(cluster) == c).select(F.col(vector).alias("vector")) for c in (a, b))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import cluster, evaluate
+from ..operators import agglomerate, cluster, evaluate
 from .base import query, table
 
 _Z = "z AS (SELECT s_suppkey AS id, (s_acctbal - avg(s_acctbal) OVER ()) / stddev_pop(s_acctbal) OVER () AS x, (s_nationkey - avg(s_nationkey) OVER ()) / stddev_pop(s_nationkey) OVER () AS y FROM supplier)"
@@ -136,20 +136,38 @@ def linkage_distances(spark, sf_dir):
 
 @query()
 def agglomerative_merges(spark, sf_dir):
-    return cluster.merges(_suppliers(spark, sf_dir), "id", ["x", "y"], "average").withColumn("height", F.round("height", 4))
+    return agglomerate.merges(_suppliers(spark, sf_dir), "id", ["x", "y"], "average").withColumn("height", F.round("height", 4)).drop("left_size", "mean")
 
 
 @query()
-def linkage_comparison(spark, sf_dir):
-    """Cophenetic correlation, clusters at several heights, and the last heights, by linkage."""
+def merge_bars(spark, sf_dir):
+    """The average linkage's merges as lines of text, a bar for each height."""
+    return agglomerate.dendrogram(agglomerate.merges(_suppliers(spark, sf_dir), "id", ["x", "y"], "average"))
+
+
+_HEIGHTS = [0.1, 0.2, 0.3, 0.5]
+
+
+@query(f"""WITH RECURSIVE {_Z}, t AS (SELECT unnest({_HEIGHTS})::DOUBLE AS height),
+l AS (SELECT height, a.id AS i, b.id AS j FROM z a JOIN z b ON a.id <> b.id, t WHERE round(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), 4) <= height),
+r AS (SELECT height, id AS i, id AS c FROM z, t UNION SELECT r.height, l.j, r.c FROM r JOIN l ON l.height = r.height AND l.i = r.i), m AS (SELECT height, i, min(c) AS c FROM r GROUP BY ALL)
+SELECT i AS id, height, (dense_rank() OVER (PARTITION BY height ORDER BY c) - 1)::INT AS cluster FROM m""")
+def single_link_clusters(spark, sf_dir):
+    """Single linkage's clusters at several heights: what chains of rows no farther apart reach."""
     s = cut(_suppliers(spark, sf_dir))
-    n, rows = s.count(), []
-    for name in ("single", "complete", "average"):
-        steps = cut(cluster.merges(s, "id", ["x", "y"], name))
-        got = steps.orderBy("step").collect()
-        cuts = [len(set(cluster.cut_merges(got, n, h))) for h in (0.5, 1.0, 1.5, 2.5)]
-        rows.append((name, cluster.cophenetic(s, "id", ["x", "y"], steps), *cuts, got[-2]["height"], got[-1]["height"]))
-    return spark.createDataFrame(rows, "linkage string, cophenetic double, at_0_5 int, at_1_0 int, at_1_5 int, at_2_5 int, second_last double, last double")
+    return agglomerate.clusters_at(s, "id", agglomerate.merges(s, "id", ["x", "y"], "single"), _HEIGHTS)
+
+
+@query()
+def ward_clusters(spark, sf_dir):
+    s = cut(_suppliers(spark, sf_dir))
+    return agglomerate.into_clusters(s, "id", agglomerate.merges(s, "id", ["x", "y"], "ward"), 3)
+
+
+@query()
+def linkage_comparison(spark, sf_dir):
+    """Cophenetic correlation, clusters at several heights, and the first and last heights, by linkage."""
+    return agglomerate.comparison(cut(_suppliers(spark, sf_dir)), "id", ["x", "y"], [0.5, 1.0, 1.5, 2.5])
 
 
 @query()

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from orebody.functions import columns as C
-from orebody.operators import cluster, etl, evaluate, prep, rules, split, stats, trees
+from orebody.operators import agglomerate, cluster, etl, evaluate, prep, rules, split, stats, trees
 from orebody.sources import readers
 from orebody.streaming.etl import stream_load
 
@@ -206,8 +206,8 @@ def test_kmeans_and_scores(spark):
     s = evaluate.silhouettes(assigned, "id", "v", "cluster")
     assert one(evaluate.silhouette_summary(s, "cluster").where("cluster = 'all'"))["quality"] == "strong"
     assert {r["cluster"] for r in cluster.dbscan(df, "id", ["x", "y"], 1.0, 3).collect()} == {0, 1, 2}
-    steps = cluster.merges(df, "id", ["x", "y"], "complete").collect()
-    assert len(set(cluster.cut_merges(steps, 30, 5.0))) == 3
+    steps = agglomerate.merges(df, "id", ["x", "y"], "complete")
+    assert agglomerate.clusters_at(df, "id", steps, [5.0]).select("cluster").distinct().count() == 3
 
 
 #: Fixed values of the case: years, performance, grade.
@@ -223,10 +223,13 @@ def test_employees(spark):
     z = prep.apply_standard(df, prep.fit_standard(df, cols), cols).cache()
     want = {"single": ([9, 2, 1, 1], 0.8629, 1.0811), "complete": ([11, 7, 6, 3], 2.6780, 5.5187), "average": ([11, 6, 3, 2], 1.6413, 3.0698)}
     for linkage, (cuts, before, last) in want.items():
-        steps = cluster.merges(z, "id", cols, linkage).orderBy("step").collect()
-        assert [len(set(cluster.cut_merges(steps, 20, h))) for h in (0.5, 1.0, 1.5, 2.5)] == cuts
+        made = agglomerate.merges(z, "id", cols, linkage)
+        at = {r["height"]: r["n"] for r in agglomerate.clusters_at(z, "id", made, [0.5, 1.0, 1.5, 2.5]).groupBy("height").agg((F.max("cluster") + 1).alias("n")).collect()}
+        assert [at[h] for h in (0.5, 1.0, 1.5, 2.5)] == cuts
+        steps = made.orderBy("step").collect()
         assert [round(steps[k]["height"], 4) for k in (0, -2, -1)] == [0.1178, before, last]
-    assert round(cluster.cophenetic(z, "id", cols, cluster.merges(z, "id", cols, "average")), 4) == 0.7576
+    found = agglomerate.cophenetic(z, cols, agglomerate.merges(z, "id", cols, "average")).first()
+    assert (round(found["cophenetic"], 4), found["quality"]) == (0.7576, "good")
 
 
 #: Fixed values of the case: age, income, spending.
