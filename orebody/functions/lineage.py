@@ -32,9 +32,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """As cut, by a Parquet table of its own in the shared folder. For loops of many rounds: a checkpoint keeps the estimated
-    sizes of its joins, whose digits multiply from round to round until planning takes all the time; a table's are those of
-    its files."""
+    """As cut, by a Parquet table of its own in the shared folder, for loops of many rounds. With checkpoints alone the rounds
+    of agglomerate did not end within minutes, with tables they do; likely, not profiled, a checkpoint carries the estimated
+    sizes of its joins on and their digits multiply, while a table's size is that of its files."""
     spark = df.sparkSession
     path = f"{_shared(spark)}/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
