@@ -45,19 +45,22 @@ def fill_in_time(df: DataFrame, order: str, value: str, bucket: Column, ties: li
     """Forward fill, then backward fill of what precedes the first value. Rows are filled within buckets of time; a
     table with one row per bucket carries values from bucket to bucket, so no window spans the whole series."""
     rows = df.withColumn("bucket_", bucket)
-    by = Window.partitionBy("bucket_").orderBy(order, *ties)
-    last = F.last(value, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first(value, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    keys = (order, *ties)
+    # A frame up to a row is carried on from row to row; one from a row on is read again for each. So what follows is
+    # taken as what precedes in the order turned round.
+    until = lambda *o: Window.partitionBy("bucket_").orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(value, ignorenulls=True).over(until(*keys))
+    first = F.last(value, ignorenulls=True).over(until(*map(F.desc, keys)))
     key = F.struct(order, *ties)
     edges = rows.where(F.col(value).isNotNull()).groupBy("bucket_").agg(
         F.max_by(value, key).alias("out_"), F.min_by(value, key).alias("in_")
     )
     all_buckets = rows.select("bucket_").distinct().join(edges, "bucket_", "left")
-    line = Window.orderBy("bucket_")
+    beyond = lambda o: Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
     carried = all_buckets.select(
         "bucket_",
-        F.last("out_", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("before_"),
-        F.first("in_", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("after_"),
+        F.last("out_", ignorenulls=True).over(beyond(F.asc("bucket_"))).alias("before_"),
+        F.last("in_", ignorenulls=True).over(beyond(F.desc("bucket_"))).alias("after_"),
     )
     filled = rows.withColumn("last_", last).withColumn("first_", first).join(carried, "bucket_")
     return filled.withColumn(value, F.coalesce("last_", "before_", "first_", "after_")).select(*df.columns)

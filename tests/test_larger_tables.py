@@ -1,7 +1,9 @@
 """What only shows on tables larger than the given ones."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from orebody.operators import prep
 from orebody.plans.registry import ORACLES, QUERIES
 
 
@@ -13,3 +15,12 @@ def test_customers_without_an_id_repeat_nobody(spark, tmp_path):
     con.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
     want = con.sql(ORACLES["etl_duplicates"]).fetchall()
     assert [tuple(r) for r in QUERIES["etl_duplicates"](spark, str(tmp_path)).collect()] == want == [(1,)]
+
+
+def test_filling_in_time_reads_no_frame_anew_for_each_row(spark):
+    """Every frame grows from row to row; values before the first and in empty buckets come from what follows."""
+    values = [None, None, 3.0, None, None, None, 7.0, None]
+    rows = spark.createDataFrame([(n, n // 2, v) for n, v in enumerate(values)], "id long, day long, value double")
+    filled = prep.fill_in_time(rows, "id", "value", F.col("day"), ["id"])
+    assert [r["value"] for r in filled.orderBy("id").collect()] == [3.0, 3.0, 3.0, 3.0, 3.0, 3.0, 7.0, 7.0]
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().toString().lower()
