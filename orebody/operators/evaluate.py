@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .blocks import distances, is_own, own_pairs, type_of, vectors
 
 
-def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    return df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+def confusion(df: DataFrame, actual: str, predicted: str, weight: str | None = None) -> DataFrame:
+    """weight: a column that says how many rows each stands for."""
+    n = F.sum(weight) if weight else F.count("*")
+    return df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(n.alias("n"))
 
 
 def accuracy(df: DataFrame, actual: str, predicted: str) -> DataFrame:

@@ -65,8 +65,14 @@ def best_thresholds(df: DataFrame, attributes: list[str], label: str) -> DataFra
     return all_of.join(best, "attribute", "left").select("attribute", (-F.col("b.t")).alias("threshold"), F.coalesce("b.gain_ratio", F.lit(0.0)).alias("gain_ratio"))
 
 
-def _class_counts(classes: list) -> list[Column]:
-    return [F.count_if(F.col("y_").eqNullSafe(F.lit(y))).cast("double").alias(f"c{k}_") for k, y in enumerate(classes)]
+def _class_counts(classes: list, weight: str | None = None) -> list[Column]:
+    w = _weight(weight)
+    return [F.sum(F.when(F.col("y_").eqNullSafe(F.lit(y)), w).otherwise(0)).cast("double").alias(f"c{k}_") for k, y in enumerate(classes)]
+
+
+def _weight(weight: str | None) -> Column:
+    """How many rows a row stands for."""
+    return F.col(weight) if weight else F.lit(1).cast("long")
 
 
 def _sum(columns: list[Column]) -> Column:
@@ -160,15 +166,16 @@ def locate(root: Node) -> Column:
 
 def build_tree(
     df: DataFrame, attributes: list[str], label: str, numeric: Collection[str] = (), ratio: bool = True, min_rows: int | None = None,
-    max_depth: int | None = None,
+    max_depth: int | None = None, weight: str | None = None,
 ) -> Node:
     """attributes in the order that settles ties; those in numeric split in two. ratio=False: by information gain
     (ID3). ratio=True: by gain ratio (J48). An attribute is used once on a path. A node of min_rows or fewer rows is a
     leaf (2 for J48, none for ID3); depth is not limited unless asked. A branch that no row takes is a leaf with its
-    parent's majority. The driver gets the classes, the values of nominal attributes and a row per open node."""
+    parent's majority. Rows alike are counted once, so a level has a row per distinct one; weight: a column that says how many
+    rows each stands for. The driver gets the classes, the values of nominal attributes and a row per open node."""
     min_rows = (2 if ratio else 0) if min_rows is None else min_rows
-    rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("y_"), *(F.col(a) for a in attributes), F.lit(0).alias("node_"))
-    rows = cut(rows)
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("y_"), *(F.col(a) for a in attributes), _weight(weight).alias("w_"))
+    rows = cut(rows.groupBy("y_", *attributes).agg(F.sum("w_").alias("w_")).withColumn("node_", F.lit(0)))
     classes = [r[0] for r in rows.select("y_").distinct().orderBy("y_").collect()]
     nominal = [a for a in attributes if a not in numeric]
     values: dict[str, list[str]] = {a: [] for a in nominal}
@@ -216,9 +223,9 @@ def _splits(rows: DataFrame, attributes: list[str], numeric: set[str], classes:
     number = {a: F.col(a).cast("double") if a in numeric else F.lit(None).cast("double") for a in attributes}
     value = {a: F.lit(None).cast("string") if a in numeric else F.col(a).cast("string") for a in attributes}
     kinds = [F.struct(F.lit(k).alias("a_"), number[a].alias("x_"), value[a].alias("v_")) for k, a in enumerate(attributes)]
-    long = rows.select("node_", "y_", F.inline(F.filter(F.array(*kinds), lambda s: F.array_contains(mine, s["a_"].cast("string")))))
-    cells = cut(long.groupBy("node_", "a_", "x_", "v_").agg(*_class_counts(classes)))
-    totals = cut(rows.groupBy("node_").agg(*_class_counts(classes)))
+    long = rows.select("node_", "y_", "w_", F.inline(F.filter(F.array(*kinds), lambda s: F.array_contains(mine, s["a_"].cast("string")))))
+    cells = cut(long.groupBy("node_", "a_", "x_", "v_").agg(*_class_counts(classes, "w_")))
+    totals = cut(rows.groupBy("node_").agg(*_class_counts(classes, "w_")))
     sized = totals.select("node_", *(F.col(c).alias(f"t{c}") for c in names))
     n = _sum([F.col(c) for c in names])
     scores = []
@@ -241,10 +248,12 @@ def _splits(rows: DataFrame, attributes: list[str], numeric: set[str], classes:
     return totals.select("node_", F.array(*names).alias("counts")).join(best, "node_", "left")
 
 
-def compare_trees(trees: dict[str, Node], sets: dict[str, DataFrame], label: str) -> DataFrame:
-    """(tree, nodes, leaves, rules, accuracy on each of the sets): pruned against unpruned."""
-    spark = next(iter(sets.values())).sparkSession
-    right = {s: df.agg(*(F.avg((predict(t) == F.col(label).cast("string")).cast("double")).alias(n) for n, t in trees.items())).first() for s, df in sets.items()}
+def compare_trees(trees: dict[str, Node], sets: dict[str, DataFrame], label: str, weight: str | None = None) -> DataFrame:
+    """(tree, nodes, leaves, rules, accuracy on each of the sets): pruned against unpruned. weight: as of build_tree."""
+    spark, w = next(iter(sets.values())).sparkSession, _weight(weight)
+    hit = {n: predict(t) == F.col(label).cast("string") for n, t in trees.items()}
+    share = [F.try_divide(F.sum(F.when(h, w).when(~h, 0)), F.sum(F.when(h.isNotNull(), w))).alias(n) for n, h in hit.items()]
+    right = {s: df.agg(*share).first() for s, df in sets.items()}
     rows = [(n, nodes(t), leaves(t), len(rules(t)), *(None if right[s][n] is None else round(right[s][n], 6) for s in sets)) for n, t in trees.items()]
     return spark.createDataFrame(rows, ", ".join(["tree string", "nodes int", "leaves int", "rules int", *(f"{s}_accuracy double" for s in sets)]))
 
@@ -291,15 +300,16 @@ def render(node: Node, indent: str = "") -> str:
     return out
 
 
-def prune(node: Node, df: DataFrame, label: str, scope: str = "routed") -> Node:
+def prune(node: Node, df: DataFrame, label: str, scope: str = "routed", weight: str | None = None) -> Node:
     """Reduced-error pruning, bottom up: a node becomes a leaf if that does not lower accuracy on df. 'routed' judges
     a node on the rows that reach it; 'global' on all rows, as if the node alone were the tree. One aggregation counts
-    the classes at the last node that rows get to; for 'global' one more for each level, of all its nodes at once."""
+    the classes at the last node that rows get to; for 'global' one more for each level, of all its nodes at once. weight: as
+    of build_tree."""
     every, first, _ = flat(node)
     seen: list[dict[str, int]] = [defaultdict(int) for _ in every]
     y = F.col(label).cast("string").alias("y_")
-    for r in df.select(locate(node).alias("k_"), y).groupBy("k_", "y_").count().collect():
-        seen[r["k_"]][r["y_"]] += r["count"]
+    for r in df.select(locate(node).alias("k_"), y, _weight(weight).alias("w_")).groupBy("k_", "y_").agg(F.sum("w_").alias("n_")).collect():
+        seen[r["k_"]][r["y_"]] += r["n_"]
     for k in range(len(every) - 1, -1, -1):  # children lie behind their parents
         for child in range(first[k], first[k] + len(every[k].children)):
             for name, c in seen[child].items():
@@ -320,7 +330,7 @@ def prune(node: Node, df: DataFrame, label: str, scope: str = "routed") -> Node:
             kept[k] = Node(n.label, n.counts, n.attribute, n.threshold, n.score, dict(zip(n.children, (kept[c] for c in kids))))
             trees.append(k)
         if scope == "global" and trees:
-            alone = df.agg(*(F.count_if(predict(kept[k]) == F.col(label).cast("string")).alias(f"n{k}") for k in trees)).first()
+            alone = df.agg(*(F.coalesce(F.sum(F.when(predict(kept[k]) == F.col(label).cast("string"), _weight(weight))), F.lit(0)).alias(f"n{k}") for k in trees)).first()
         for k in trees:
             as_leaf = seen[k].get(every[k].label, 0)
             if (seen[0].get(every[k].label, 0) >= alone[f"n{k}"]) if scope == "global" else (as_leaf >= right[k]):

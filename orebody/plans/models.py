@@ -42,37 +42,39 @@ def best_threshold(spark, sf_dir):
 
 
 def _binned(spark, sf_dir):
+    """Distinct rows of bands, and how many rows of lineitem each stands for."""
     li = table(spark, sf_dir, "lineitem")
-    return li.select(
+    bands = li.select(
         "l_returnflag", "l_linestatus", F.year("l_shipdate").cast("string").alias("ship_year"), F.floor(F.col("l_quantity") / 10).cast("string").alias("quantity_band"),
         F.floor(F.col("l_discount") * 100).alias("discount"), F.floor(F.col("l_tax") * 100).alias("tax"),
     )
+    return cut(bands.groupBy(*bands.columns).agg(F.count("*").alias("n")))
 
 
 @query()
 def id3_rules(spark, sf_dir):
     rows = _binned(spark, sf_dir)
-    return trees.rules_frame(spark, trees.build_tree(rows, ["l_linestatus", "ship_year", "quantity_band"], "l_returnflag", ratio=False))
+    return trees.rules_frame(spark, trees.build_tree(rows, ["l_linestatus", "ship_year", "quantity_band"], "l_returnflag", ratio=False, weight="n"))
 
 
 def _grown(spark, sf_dir):
     """Grown on four fifths, pruned on the rest."""
     rows = _binned(spark, sf_dir).withColumn("k_", F.pmod(F.xxhash64("ship_year", "quantity_band", "discount", "tax"), F.lit(5)))
-    tree = trees.build_tree(rows.where("k_ <> 0"), ["ship_year", "quantity_band", "discount", "tax"], "l_returnflag", numeric=["discount", "tax"])
-    return rows, tree, trees.prune(tree, rows.where("k_ = 0"), "l_returnflag")
+    tree = trees.build_tree(rows.where("k_ <> 0"), ["ship_year", "quantity_band", "discount", "tax"], "l_returnflag", numeric=["discount", "tax"], weight="n")
+    return rows, tree, trees.prune(tree, rows.where("k_ = 0"), "l_returnflag", weight="n")
 
 
 @query()
 def j48_confusion(spark, sf_dir):
     """The pruned tree's predictions on all rows."""
     rows, _, tree = _grown(spark, sf_dir)
-    return evaluate.confusion(rows.withColumn("p_", trees.predict(tree)), "l_returnflag", "p_")
+    return evaluate.confusion(rows.withColumn("p_", trees.predict(tree)), "l_returnflag", "p_", "n")
 
 
 @query()
 def pruning_comparison(spark, sf_dir):
     rows, tree, pruned = _grown(spark, sf_dir)
-    return trees.compare_trees({"unpruned": tree, "pruned": pruned}, {"all": rows, "validation": rows.where("k_ = 0")}, "l_returnflag")
+    return trees.compare_trees({"unpruned": tree, "pruned": pruned}, {"all": rows, "validation": rows.where("k_ = 0")}, "l_returnflag", "n")
 
 
 _SCORED = "s AS (SELECT l_returnflag AS y, CASE WHEN l_linestatus = 'O' THEN 'N' WHEN l_quantity > 25 THEN 'A' ELSE 'R' END AS p FROM lineitem)"

@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from orebody.operators import prep
+from orebody.operators import evaluate, prep, trees
 from orebody.plans.registry import ORACLES, QUERIES
 
 
@@ -24,3 +24,17 @@ def test_filling_in_time_reads_no_frame_anew_for_each_row(spark):
     filled = prep.fill_in_time(rows, "id", "value", F.col("day"), ["id"])
     assert [r["value"] for r in filled.orderBy("id").collect()] == [3.0, 3.0, 3.0, 3.0, 3.0, 3.0, 7.0, 7.0]
     assert "unboundedfollowing" not in filled._jdf.queryExecution().toString().lower()
+
+
+def test_a_tree_of_counted_rows_is_that_of_all_rows(spark):
+    rows = spark.range(600).select(F.expr("string(id % 3)").alias("a"), F.expr("id % 7").alias("b"), F.expr("string((id % 3 * id % 7) % 4)").alias("y"))
+    counted = rows.groupBy("a", "b", "y").agg(F.count("*").alias("n"))
+    tree = trees.build_tree(rows, ["a", "b"], "y", numeric=["b"])
+    small = trees.build_tree(counted, ["a", "b"], "y", numeric=["b"], weight="n")
+    assert trees.nodes(tree) > 3 and small == tree
+    for scope in ("routed", "global"):
+        assert trees.prune(small, counted, "y", scope, "n") == trees.prune(tree, rows, "y", scope)
+    one, two = (trees.compare_trees({"t": tree}, {"all": d}, "y", w).first() for d, w in ((rows, None), (counted, "n")))
+    assert one == two
+    cells = [{tuple(r) for r in evaluate.confusion(d.withColumn("p", trees.predict(tree)), "y", "p", w).collect()} for d, w in ((rows, None), (counted, "n"))]
+    assert cells[0] == cells[1]
