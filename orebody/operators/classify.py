@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from .blocks import BLOCK, chosen_pairs, distances, near_blocks, pivots_of, type_of, vectors, work_on
+from .blocks import BLOCK, chosen_pairs, closest, near_blocks, pivots_of, type_of, vectors, widened, work_on
 from .evaluate import averages, class_report
 from .linear import fit_folds, fourier_features, softmax, squared_hinge
 
@@ -93,18 +93,13 @@ def nearest_neighbours(
         v, w = vectors(p["vector"]), vectors(q["vector"])
         if "bound" in p:
             gap = np.maximum(0, np.maximum(w.min(axis=0) - v, v - w.max(axis=0)))
-            reached = ~(np.sqrt((gap * gap).sum(axis=1)) > _widened(p["bound"].to_numpy()))
+            reached = ~(np.sqrt((gap * gap).sum(axis=1)) > widened(p["bound"].to_numpy()))
             p, v = p[reached], v[reached]
-        keys, near, y, out = p["key"].to_numpy(), q["near"].to_numpy(), q["y"].to_numpy(), []
-        for part, d in distances(v, w):
-            d = np.round(d, 9)
-            if apart:
-                d[p["apart"].to_numpy()[part][:, None] == q["apart"].to_numpy()] = np.inf
-            at = np.argsort(d, axis=1, kind="stable")[:, :k]
-            best = np.take_along_axis(d, at, axis=1).ravel()
-            rows = pd.DataFrame({"key": np.repeat(keys[part], at.shape[1]), "near": near[at.ravel()], "y": y[at.ravel()], "d": best})
-            within = np.repeat(p["bound"].to_numpy()[part], at.shape[1]) if "bound" in p else np.inf
-            out.append(rows[(best < np.inf) & ~(best > within)])
+        keys, near, y = p["key"].to_numpy(), q["near"].to_numpy(), q["y"].to_numpy()
+        bound = p["bound"].to_numpy() if "bound" in p else np.full(len(p), np.inf)
+        ours, theirs = p["apart"].to_numpy(), q["apart"].to_numpy()
+        same = (lambda part: ours[part][:, None] == theirs) if apart else None
+        out = [pd.DataFrame({"key": keys[i], "near": near[j], "y": y[j], "d": d}) for i, j, d in closest(v, w, k, bound, same)]
         return pd.concat(out) if out else pd.DataFrame({"key": [], "near": [], "y": [], "d": []})
 
     def nearest_blocks(at):
@@ -121,7 +116,7 @@ def nearest_neighbours(
 
     def reached_blocks(at):
         least, _ = here.bounds(at, there)
-        rest = (there.counts > 0) & ~(least > _widened(reach[at]))
+        rest = (there.counts > 0) & ~(least > widened(reach[at]))
         rest[nearest_blocks(at)] = False
         return np.flatnonzero(rest)
 
@@ -135,11 +130,6 @@ def nearest_neighbours(
     return best.select(F.col("key").alias(key), F.col("b.y").alias("prediction"))
 
 
-def _widened(distance):
-    """A distance with room for its rounding to nine digits."""
-    return distance * (1 + 1e-9) + 1e-8
-
-
 def _assembled(df: DataFrame, columns: list[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 

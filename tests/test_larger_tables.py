@@ -1,9 +1,11 @@
 """What only shows on tables larger than the given ones."""
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from orebody.operators import evaluate, prep, trees
+from orebody.operators.blocks import closest, distances
 from orebody.plans.registry import ORACLES, QUERIES
 
 
@@ -38,3 +40,18 @@ def test_a_tree_of_counted_rows_is_that_of_all_rows(spark):
     assert one == two
     cells = [{tuple(r) for r in evaluate.confusion(d.withColumn("p", trees.predict(tree)), "y", "p", w).collect()} for d, w in ((rows, None), (counted, "n"))]
     assert cells[0] == cells[1]
+
+
+def test_closest_rows_are_those_of_all_differences():
+    """Far from the origin, with copies and rows that do not count for each other."""
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(1e4, 1, (50, 64)), rng.normal(1e4, 1, (90, 64))
+    y[30:60] = y[:30]
+    x[:5] = y[:5]
+    within, group, of = np.r_[np.full(40, np.inf), np.full(10, 11.0)], np.arange(50) % 3, np.arange(90) % 3
+    d = np.round(np.sqrt((np.abs(x[:, None] - y[None]) ** 2).sum(axis=2)), 9)
+    d[group[:, None] == of] = np.inf
+    got = [(i, j, v) for a in closest(x, y, 3, within, lambda part: group[part][:, None] == of) for i, j, v in zip(*a)]
+    assert got == [(i, j, d[i, j]) for i in range(50) for j in np.argsort(d[i], kind="stable")[:3] if d[i, j] <= within[i]]
+    for metric, fold in (("euclidean", lambda a: np.sqrt((a * a).sum(-1))), ("manhattan", lambda a: a.sum(-1)), ("chebyshev", lambda a: a.max(-1))):
+        assert np.array_equal(np.concatenate([p for _, p in distances(x[:, :3], y[:, :3], metric)]), fold(np.abs(x[:, None, :3] - y[None, :, :3])))
