@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from .blocks import block_pairs, distances, vectors
-from .evaluate import silhouettes
+from .evaluate import silhouette_means
 
 
 def squared_distance(columns: list[str], centre: list[float]):
@@ -149,16 +149,17 @@ def kmeans_restarts(df: DataFrame, columns: list[str], k: int, restarts: int = 1
 def elbow(df: DataFrame, key: str, columns: list[str], ks: range, seed: int = 42) -> DataFrame:
     """(k, wcss, drop_pct, silhouette, iterations, last_change): the drop to the next smaller k, the mean silhouette
     (null for one cluster), and the rounds until rest with the change of the WCSS in the last."""
-    rows, last = [], None
+    rows, last, placed, several = [], None, df.select(key, *columns, F.array(*columns).alias("vector_")), {}
     for k in ks:
         centres, trace = kmeans(df, columns, seed_in_rounds(df, columns, k, seed))
-        mean = None
         if k > 1:
-            placed = assign(df, columns, centres).withColumn("vector_", F.array(*columns))
-            mean = silhouettes(placed, key, "vector_", "cluster").agg(F.avg("silhouette")).first()[0]
+            several[f"of_{k}_"] = len(centres)
+            placed = assign(placed, columns, centres, f"of_{k}_").drop("d2")
         change = trace[-2] - trace[-1] if len(trace) > 1 else 0.0
-        rows.append((k, trace[-1], None if not last else 100 * (last - trace[-1]) / last, mean, len(trace), change))
+        rows.append((k, trace[-1], None if not last else 100 * (last - trace[-1]) / last, None, len(trace), change))
         last = trace[-1]
+    means = dict(zip(several, silhouette_means(placed, key, "vector_", several))) if several else {}
+    rows = [(k, *r[:2], means.get(f"of_{k}_"), *r[3:]) for k, *r in rows]
     return df.sparkSession.createDataFrame(rows, "k int, wcss double, drop_pct double, silhouette double, iterations int, last_change double")
 
 

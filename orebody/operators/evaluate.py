@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from .blocks import distances, is_own, own_pairs, type_of, vectors
 
 
@@ -115,6 +116,46 @@ def silhouettes(df: DataFrame, key: str, vector: str, cluster: str) -> DataFrame
     return s.select(F.col("key").alias(key), F.col("own").alias(cluster), value.alias("silhouette"))
 
 
+WIDE = 20_000  # rows of a block where a row gives out one row for all clusterings
+
+
+def silhouette_means(df: DataFrame, key: str, vector: str, clusterings: dict[str, int], size: int = WIDE) -> list[float | None]:
+    """The mean silhouette of each of several clusterings (column -> k: its clusters are 0 to k - 1), in one pass over the
+    pairs of rows: a distance is worked out once for all of them, and a row gives one row for each block it meets."""
+    names, places = list(clusterings), [(c, g) for c, k in clusterings.items() for g in range(k)]
+    rows = cut(df.select(F.col(key).alias("key"), F.col(vector).alias("vector"), *names))
+    sums = [f"s{n}_" for n in range(len(places))]
+
+    def work(p, q):
+        import numpy as np
+        import pandas as pd
+
+        def members(rows):
+            return np.concatenate([(rows[c].to_numpy()[:, None] == np.arange(k)).astype(float) for c, k in clusterings.items()], axis=1)
+
+        of_left, of_right = members(p), members(q)
+        there, back = np.zeros((len(p), len(places))), np.zeros((len(q), len(places)))
+        for part, d in distances(vectors(p["vector"]), vectors(q["vector"])):
+            there[part] = d @ of_right
+            if not is_own(p, q):
+                back += d.T @ of_left[part]
+        out = [pd.DataFrame(there, columns=sums).assign(key=p["key"].to_numpy())]
+        if not is_own(p, q):
+            out.append(pd.DataFrame(back, columns=sums).assign(key=q["key"].to_numpy()))
+        return pd.concat(out)[["key", *sums]]
+
+    met = own_pairs(rows, work, ", ".join([f"key {type_of(rows, 'key')}", *(f"{s} double" for s in sums)]), size)
+    total = met.groupBy("key").agg(*(F.sum(s).alias(s) for s in sums)).join(rows.drop("vector"), "key")
+    counted = rows.agg(*(F.count_if(F.col(c) == g).alias(s) for s, (c, g) in zip(sums, places))).first()  # a number per cluster
+    means = []
+    for c in names:
+        own = [F.when(F.col(c) == g, F.col(s) / (counted[s] - 1)) for s, (d, g) in zip(sums, places) if d == c and counted[s] > 1]
+        others = [F.when(F.col(c) != g, F.col(s) / counted[s]) for s, (d, g) in zip(sums, places) if d == c and counted[s]]
+        a, b = F.coalesce(F.lit(None).cast("double"), *own), F.array_min(F.array_compact(F.array(*others)))
+        means.append(F.avg(F.when(a.isNull(), 0.0).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))).alias(c))
+    return list(total.agg(*means).first())
+
+
 def silhouette_summary(s: DataFrame, cluster: str) -> DataFrame:
     from .stats import band
 

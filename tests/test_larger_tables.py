@@ -55,3 +55,10 @@ def test_closest_rows_are_those_of_all_differences():
     assert got == [(i, j, d[i, j]) for i in range(50) for j in np.argsort(d[i], kind="stable")[:3] if d[i, j] <= within[i]]
     for metric, fold in (("euclidean", lambda a: np.sqrt((a * a).sum(-1))), ("manhattan", lambda a: a.sum(-1)), ("chebyshev", lambda a: a.max(-1))):
         assert np.array_equal(np.concatenate([p for _, p in distances(x[:, :3], y[:, :3], metric)]), fold(np.abs(x[:, None, :3] - y[None, :, :3])))
+
+
+def test_silhouettes_of_several_clusterings_are_those_of_each(spark):
+    rows = spark.range(70).selectExpr("id", "array(double(id * 37 % 101), double(id * id % 53)) as v", "int(id % 2) as a", "int(if(id = 9, 2, id % 2)) as b")
+    got = evaluate.silhouette_means(rows, "id", "v", {"a": 2, "b": 4}, size=16)
+    want = [evaluate.silhouettes(rows, "id", "v", c).agg(F.avg("silhouette")).first()[0] for c in "ab"]
+    assert np.allclose(got, want)
