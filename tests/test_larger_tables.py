@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from orebody.operators import agglomerate, evaluate, prep, trees
@@ -64,10 +65,11 @@ def test_silhouettes_of_several_clusterings_are_those_of_each(spark):
     assert np.allclose(got, want)
 
 
-def test_pruned_rounds_find_the_pairs_of_all_rounds(spark, monkeypatch):
-    rows = spark.range(90).selectExpr("id as cluster_", "1L as w_", "array(double(id * 37 % 101), double(id * id % 53)) as vector")
+@pytest.mark.parametrize("linkage", ["ward", "single", "complete"])
+def test_pruned_rounds_find_the_pairs_of_all_rounds(spark, monkeypatch, linkage):
+    rows = spark.range(90).selectExpr("id as cluster_", "1 + id % 3 as w_", "array(double(id * 37 % 101), double(id * id % 53)) as vector")
     pairs = []
     for many in (0, 1_000):
         monkeypatch.setattr(agglomerate, "MANY", many)
-        pairs.append({(r[0], r[1]) for r in agglomerate._mutual(rows, "complete", 16).collect()})
+        pairs.append({(r[0], r[1]) for r in agglomerate._mutual(rows, linkage, 16).collect()})
     assert pairs[0] == pairs[1] and pairs[0]
