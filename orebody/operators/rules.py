@@ -53,15 +53,26 @@ def candidates(frequent: DataFrame, k: int) -> DataFrame:
 SLICE = 1 << 15  # baskets of a slice, about: a bitmap of 4 kB
 
 
-def basket_bitmaps(baskets: DataFrame) -> DataFrame:
-    """(items, slice, bits): for each item and slice of the baskets a bitmap of the baskets that hold it. A slice is a
-    share of the baskets by hash; a basket's bit is its rank in the slice."""
-    slices = max(1, -(-baskets.agg(F.count_distinct("tid")).first()[0] // SLICE))
+def slices_of(baskets: DataFrame) -> int:
+    return max(1, -(-baskets.agg(F.count_distinct("tid")).first()[0] // SLICE))
+
+
+def in_slices(itemsets: DataFrame, slices: int) -> DataFrame:
+    """Each row once for every slice: joined by slice too, no task gets all baskets of an item."""
+    return itemsets.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+
+
+def basket_bitmaps(baskets: DataFrame, among: DataFrame | None = None, slices: int | None = None) -> DataFrame:
+    """(items, slice, bits): for each item (of among, if given) and slice of the baskets a bitmap of the baskets that hold
+    it. A slice is a share of the baskets by hash; a basket's bit is its rank in the slice."""
+    slices = slices or slices_of(baskets)
     rows = baskets.withColumn("slice", F.pmod(F.xxhash64("tid"), F.lit(slices)).cast("int"))
     rows = rows.withColumn("at", F.dense_rank().over(Window.partitionBy("slice").orderBy("tid")) - 1)
     words = rows.groupBy("item", "slice", F.floor(F.col("at") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, at % 64)")).alias("b"))
     words = cut(words)
     last = words.agg(F.max("w")).first()[0] or 0
+    if among is not None:
+        words = words.join(in_slices(among.select("item"), slices), ["item", "slice"], "left_semi")
     found = words.groupBy("item", "slice").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))  # at most a slice's words
     dense = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long")))
     return found.select(F.array("item").alias("items"), "slice", dense.alias("bits"))
@@ -70,21 +81,23 @@ def basket_bitmaps(baskets: DataFrame) -> DataFrame:
 def apriori(baskets: DataFrame, min_count: int) -> DataFrame:
     """(items, k, cnt), level by level until one is empty. Baskets are held as bitmaps, one for each frequent itemset of
     a level and slice of baskets. A candidate's baskets are the bits that two of its subsets share, so a level has a row
-    per candidate and slice, and no row per basket. Each level is cut, so none is computed again for the next."""
+    per candidate and slice, and no row per basket. Joins are by itemset and slice, so a task's rows do not grow with the
+    baskets of an item. Each level is cut, so none is computed again for the next."""
     rows = cut(baskets.select("tid", "item").distinct())
+    slices = slices_of(rows)
     level = cut(rows.groupBy("item").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= min_count).select(F.array("item").alias("items"), F.lit(1).alias("k"), "cnt"))
-    held, out, k = cut(basket_bitmaps(rows.join(level.select(F.col("items")[0].alias("item")), "item", "left_semi"))), level, 1
+    held, out, k = cut(basket_bitmaps(rows, level.select(F.col("items")[0].alias("item")), slices)), level, 1
     while not level.isEmpty():
         k += 1
         want = candidates(level, k)
         want = want.select("items", F.slice("items", 1, k - 1).alias("a_"), F.concat(F.slice("items", 1, k - 2), F.slice("items", k, 1)).alias("b_"))
         one = held.select(F.col("items").alias("a_"), "slice", F.col("bits").alias("x_"))
         two = held.select(F.col("items").alias("b_"), "slice", F.col("bits").alias("y_"))
-        both = want.join(one, "a_").join(two, ["b_", "slice"])
+        both = in_slices(want, slices).join(one, ["a_", "slice"]).join(two, ["b_", "slice"])
         grown = cut(both.select("items", "slice", F.zip_with("x_", "y_", lambda x, y: x.bitwiseAND(y)).alias("bits")))
         ones = F.aggregate("bits", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
         level = cut(grown.groupBy("items").agg(F.sum(ones).alias("cnt")).where(F.col("cnt") >= min_count).select("items", F.lit(k).alias("k"), "cnt"))
-        held = grown.join(level.select("items"), "items", "left_semi")
+        held = grown.join(in_slices(level.select("items"), slices), ["items", "slice"], "left_semi")
         out = out.unionByName(level)
     return out
 

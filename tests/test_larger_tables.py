@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orebody.operators import agglomerate, evaluate, prep, trees
+from orebody.operators import agglomerate, evaluate, prep, rules, trees
 from orebody.operators.blocks import closest, distances
 from orebody.plans.registry import ORACLES, QUERIES
 
@@ -73,3 +73,25 @@ def test_pruned_rounds_find_the_pairs_of_all_rounds(spark, monkeypatch, linkage)
         monkeypatch.setattr(agglomerate, "MANY", many)
         pairs.append({(r[0], r[1]) for r in agglomerate._mutual(rows, linkage, 16).collect()})
     assert pairs[0] == pairs[1] and pairs[0]
+
+
+def test_no_join_puts_all_baskets_of_an_item_into_one_task(spark, monkeypatch):
+    """Joins of baskets or bitmaps have the slice in their keys."""
+    joins = []
+
+    def seen(node):
+        if node.nodeName() == "Join" and any(f"{c}#" in node.output().mkString(" ") for c in ("tid", "slice")):
+            joins.append(node.condition().toString())
+        for k in range(node.children().size()):
+            seen(node.children().apply(k))
+
+    def watched(df, cut=rules.cut):
+        seen(df._jdf.queryExecution().optimizedPlan())
+        return cut(df)
+
+    monkeypatch.setattr(rules, "SLICE", 9)
+    monkeypatch.setattr(rules, "cut", watched)
+    baskets = spark.range(60).selectExpr("id as tid", "explode(array('a', if(id % 2 = 0, 'b', 'c'), if(id % 3 < 2, 'd', 'a'), concat('rare', id))) as item")
+    got = {",".join(r["items"]): r["cnt"] for r in rules.apriori(baskets, 20).collect()}
+    assert got == {"a": 60, "b": 30, "c": 30, "d": 40, "a,b": 30, "a,c": 30, "a,d": 40, "b,d": 20, "c,d": 20, "a,b,d": 20, "a,c,d": 20}
+    assert len(joins) > 3 and all("slice#" in j for j in joins)
