@@ -1,11 +1,13 @@
 """What only shows on tables larger than the given ones."""
 
+import math
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orebody.operators import agglomerate, evaluate, prep, rules, trees
+from orebody.operators import agglomerate, evaluate, prep, rules, stats, trees
 from orebody.operators.blocks import closest, distances
 from orebody.plans.registry import ORACLES, QUERIES
 
@@ -95,3 +97,17 @@ def test_no_join_puts_all_baskets_of_an_item_into_one_task(spark, monkeypatch):
     got = {",".join(r["items"]): r["cnt"] for r in rules.apriori(baskets, 20).collect()}
     assert got == {"a": 60, "b": 30, "c": 30, "d": 40, "a,b": 30, "a,c": 30, "a,d": 40, "b,d": 20, "c,d": 20, "a,b,d": 20, "a,c,d": 20}
     assert len(joins) > 3 and all("slice#" in j for j in joins)
+
+
+def test_equal_distances_of_copies_lie_in_runs(spark, monkeypatch):
+    """Pairs of two stretches of equal vectors follow each other, in several blocks and tasks."""
+    rows = spark.range(60).selectExpr("id", "array(double(id % 3), double(id % 3 * id % 3)) as v").repartition(5, "id")
+    want = {(i, j): math.dist((i % 3, i % 3 * i % 3), (j % 3, j % 3 * j % 3)) for j in range(60) for i in range(j)}
+    whole = stats.own_pairs
+    for size, tasks in ((60, 1), (20, 2)):
+        monkeypatch.setattr(stats, "own_pairs", lambda df, work, schema: whole(df, work, schema, size))
+        got = stats.pairwise(rows, "id", "v").withColumn("task", F.spark_partition_id()).collect()
+        assert {(r["i"], r["j"]): r["d"] for r in got} == pytest.approx(want) and len(got) == len(want)
+        assert sum((a["d"], a["task"]) != (b["d"], b["task"]) for a, b in zip(got, got[1:])) < 9
+        assert len({r["task"] for r in got}) >= tasks
+    assert stats.pairwise(rows.limit(0), "id", "v").count() == 0
