@@ -51,10 +51,21 @@ def candidates(frequent: DataFrame, k: int) -> DataFrame:
 
 
 SLICE = 1 << 15  # baskets of a slice, about: a bitmap of 4 kB
+TASK_ROWS = 1 << 18  # rows dealt to a task, about
+
+
+def dealt(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """The n rows by these columns. As the number of tasks is given, Spark neither joins them nor keeps to a number that is
+    set for all tables: what a task holds does not grow with the table."""
+    return rows.repartition(max(1, -(-n // TASK_ROWS)), *by)
+
+
+def count_baskets(baskets: DataFrame) -> int:
+    return dealt(baskets.select("tid"), baskets.count(), "tid").agg(F.count_distinct("tid")).first()[0]
 
 
 def slices_of(baskets: DataFrame) -> int:
-    return max(1, -(-baskets.agg(F.count_distinct("tid")).first()[0] // SLICE))
+    return max(1, -(-count_baskets(baskets) // SLICE))
 
 
 def in_slices(itemsets: DataFrame, slices: int) -> DataFrame:
@@ -62,20 +73,27 @@ def in_slices(itemsets: DataFrame, slices: int) -> DataFrame:
     return itemsets.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
 
-def basket_bitmaps(baskets: DataFrame, among: DataFrame | None = None, slices: int | None = None) -> DataFrame:
-    """(items, slice, bits): for each item (of among, if given) and slice of the baskets a bitmap of the baskets that hold
-    it. A slice is a share of the baskets by hash; a basket's bit is its rank in the slice."""
-    slices = slices or slices_of(baskets)
-    rows = baskets.withColumn("slice", F.pmod(F.xxhash64("tid"), F.lit(slices)).cast("int"))
-    rows = rows.withColumn("at", F.dense_rank().over(Window.partitionBy("slice").orderBy("tid")) - 1)
+def basket_words(baskets: DataFrame, slices: int) -> DataFrame:
+    """(item, slice, words): for each item and slice of the baskets the words (w, b) of 64 baskets that are not zero. A slice
+    is a share of the baskets by hash; a basket's bit is its rank in the slice. Baskets may repeat items. Rows are dealt by
+    slice once, for ranks and words."""
+    rows = baskets.select("tid", "item", F.pmod(F.xxhash64("tid"), F.lit(slices)).cast("int").alias("slice"))
+    rows = dealt(rows, baskets.count(), "slice").withColumn("at", F.dense_rank().over(Window.partitionBy("slice").orderBy("tid")) - 1)
     words = rows.groupBy("item", "slice", F.floor(F.col("at") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, at % 64)")).alias("b"))
-    words = cut(words)
-    last = words.agg(F.max("w")).first()[0] or 0
-    if among is not None:
-        words = words.join(in_slices(among.select("item"), slices), ["item", "slice"], "left_semi")
-    found = words.groupBy("item", "slice").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))  # at most a slice's words
-    dense = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long")))
-    return found.select(F.array("item").alias("items"), "slice", dense.alias("bits"))
+    return words.groupBy("item", "slice").agg(F.collect_list(F.struct("w", "b")).alias("words"))  # at most a slice's words
+
+
+def dense_bitmaps(words: DataFrame) -> DataFrame:
+    """(items, slice, bits) of basket_words, all of one length."""
+    last = words.agg(F.max(F.array_max("words.w"))).first()[0] or 0
+    held = F.map_from_entries("words")
+    bits = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda w: F.coalesce(F.try_element_at(held, w), F.lit(0).cast("long")))
+    return words.select(F.array("item").alias("items"), "slice", bits.alias("bits"))
+
+
+def basket_bitmaps(baskets: DataFrame) -> DataFrame:
+    """(items, slice, bits): for each item and slice of the baskets a bitmap of the baskets that hold it."""
+    return dense_bitmaps(cut(basket_words(baskets, slices_of(baskets))))
 
 
 def apriori(baskets: DataFrame, min_count: int) -> DataFrame:
@@ -83,10 +101,12 @@ def apriori(baskets: DataFrame, min_count: int) -> DataFrame:
     a level and slice of baskets. A candidate's baskets are the bits that two of its subsets share, so a level has a row
     per candidate and slice, and no row per basket. Joins are by itemset and slice, so a task's rows do not grow with the
     baskets of an item. Each level is cut, so none is computed again for the next."""
-    rows = cut(baskets.select("tid", "item").distinct())
-    slices = slices_of(rows)
-    level = cut(rows.groupBy("item").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= min_count).select(F.array("item").alias("items"), F.lit(1).alias("k"), "cnt"))
-    held, out, k = cut(basket_bitmaps(rows, level.select(F.col("items")[0].alias("item")), slices)), level, 1
+    slices = slices_of(baskets)
+    words = cut(basket_words(baskets, slices))
+    counted = words.groupBy("item").agg(F.sum(F.aggregate("words.b", F.lit(0).cast("long"), lambda n, b: n + F.bit_count(b))).alias("cnt"))
+    level = cut(counted.where(F.col("cnt") >= min_count).select(F.array("item").alias("items"), F.lit(1).alias("k"), "cnt"))
+    among = in_slices(level.select(F.col("items")[0].alias("item")), slices)
+    held, out, k = cut(dense_bitmaps(words.join(among, ["item", "slice"], "left_semi"))), level, 1
     while not level.isEmpty():
         k += 1
         want = candidates(level, k)

@@ -13,14 +13,17 @@ _B = "b AS (SELECT DISTINCT l_orderkey AS tid, split_part(p_type, ' ', 1) AS ite
 
 
 def _baskets(spark, sf_dir):
-    """Used several times by each query, so it is cut here."""
+    """Used several times by each query, so it is cut here. Rows are dealt by part to find its type and by order to be told
+    apart: neither grows with the tables in one task, and no table of parts is sent to all."""
     li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    return cut(li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("tid"), F.split("p_type", " ")[0].alias("item")).distinct())
+    n = li.count()
+    rows = rules.dealt(li.select("l_orderkey", "l_partkey"), n, "l_partkey").join(p.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
+    return cut(rules.dealt(rows.select(F.col("l_orderkey").alias("tid"), F.split("p_type", " ")[0].alias("item")), n, "tid").distinct())
 
 
 def _least(baskets) -> tuple[int, int]:
     """(number of baskets, a twentieth of it rounded down)"""
-    n = baskets.agg(F.count_distinct("tid")).first()[0]
+    n = rules.count_baskets(baskets)
     return n, n // 20
 
 

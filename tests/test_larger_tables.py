@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orebody.operators import agglomerate, evaluate, prep, rules, stats, trees
 from orebody.operators.blocks import closest, distances
+from orebody.plans import association
 from orebody.plans.registry import ORACLES, QUERIES
 
 
@@ -111,3 +112,24 @@ def test_equal_distances_of_copies_lie_in_runs(spark, monkeypatch):
         assert sum((a["d"], a["task"]) != (b["d"], b["task"]) for a, b in zip(got, got[1:])) < 9
         assert len({r["task"] for r in got}) >= tasks
     assert stats.pairwise(rows.limit(0), "id", "v").count() == 0
+
+
+@pytest.mark.parametrize("name", ["cross_sell"])
+def test_what_a_task_holds_of_baskets_does_not_grow_with_the_tables(spark, sf, monkeypatch, name):
+    """Not even where shuffles are set to few partitions, or joined to few."""
+    held = []
+
+    def watched(df, cut=rules.cut):
+        out = cut(df)
+        held.append(max((r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()), default=0))
+        return out
+
+    monkeypatch.setattr(rules, "TASK_ROWS", 500, raising=False)
+    monkeypatch.setattr(rules, "SLICE", 100)
+    monkeypatch.setattr(rules, "cut", watched)
+    monkeypatch.setattr(association, "cut", watched)
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    assert sorted(tuple(r) for r in QUERIES[name](spark, sf).collect()) == sorted(con.sql(ORACLES[name]).fetchall())
+    assert len(held) > 4 and max(held) < 1_000
