@@ -114,7 +114,7 @@ def test_equal_distances_of_copies_lie_in_runs(spark, monkeypatch):
     assert stats.pairwise(rows.limit(0), "id", "v").count() == 0
 
 
-@pytest.mark.parametrize("name", ["cross_sell", "rule_summary", "rules_for_promo"])
+@pytest.mark.parametrize("name", ["cross_sell", "rule_summary", "rules_for_promo", "surest_rule"])
 def test_what_a_task_holds_of_baskets_does_not_grow_with_the_tables(spark, sf, monkeypatch, name):
     """Not even where shuffles are set to few partitions, or joined to few."""
     held = []
