@@ -155,7 +155,7 @@ SELECT i AS id, height, (dense_rank() OVER (PARTITION BY height ORDER BY c) - 1)
 def single_link_clusters(spark, sf_dir):
     """Single linkage's clusters at several heights: what chains of rows no farther apart reach."""
     s = cut(_suppliers(spark, sf_dir))
-    return agglomerate.clusters_at(s, "id", agglomerate.merges(s, "id", ["x", "y"], "single"), _HEIGHTS)
+    return agglomerate.clusters_at(s, "id", agglomerate.merges(s, "id", ["x", "y"], "single", means=False), _HEIGHTS)
 
 
 @query()
